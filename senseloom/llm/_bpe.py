@@ -9,12 +9,16 @@ of the parts, each with its space in front, make up the ids of the text.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(f" ?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*")
+_PRE_TOKENS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|\n")
 #: Longer parts aren't kept.
 LONGEST_KEPT = 64
 
@@ -43,31 +47,33 @@ class ByteBpe:
     most: parts kept between documents; beyond it the store starts anew.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are written as this machine's unsigned integers")
+
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-        self.ends = {"": b"", **{c: self.whole(c) for c in ".,"}}
-        self.words: dict[str, bytes] = {}
+        self.words = _Known(self.pre_token)
         self.known = _Known(lambda part: self.part(" " + part))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def pre_token(self, word: str) -> bytes:
+        at = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(at)]).tobytes()
+
     def part(self, part: str) -> bytes:
-        m = _WORD.fullmatch(part)
-        if not m or len(part) > LONGEST_KEPT:
+        """Pre-tokens of plain Latin-1 are found here and merged by the library's model; all else is the library's."""
+        if len(part) > LONGEST_KEPT or not _SIMPLE.fullmatch(part):
             return self.whole(part)
-        word = m[1]
-        if (ids := self.words.get(word)) is None:
-            at = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(at)], "<u4").tobytes()
-        return ids + self.ends[m[2]]
+        return b"".join(map(self.words.__getitem__, _PRE_TOKENS.findall(part)))
 
     def ids(self, text: str) -> bytes:
         if not text:
