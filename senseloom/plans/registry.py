@@ -5,11 +5,516 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import categories as cat
+from ..operators import examples as exa
+from ..operators import infer, links, metrics, tokens
+from ..operators import sections as sec
+from ..operators import senses as sen
+from .fixtures import T2, T3, Inputs, with_views
+
+Query = Callable[[Inputs], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from . import more  # noqa: F401  (adds queries without SQL)
+
+    return {k: (lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir))) for k, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- titles and text
+
+_PIECES = r"regexp_extract_all(coalesce({}, ''), '(?s)\s+|[\p{{L}}\p{{N}}]+|.')".format
+_TITLE = "substr(text, 1, 40)"
+_STRIP = r"replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), ' ', '_')".format
+
+
+@query(f"select doc_id, case when t[1] = 'ß' then t else upper(t[1]) || t[2:] end title from (select doc_id, {_STRIP(_TITLE)} t from documents)")
+def normalize_titles(i: Inputs) -> DataFrame:
+    return i.documents.select("doc_id", text.page_title(F.expr(_TITLE)).alias("title"))
+
+
+@query(f"select doc_id, {T2(_TITLE)} anchor from documents")
+def section_anchor(i: Inputs) -> DataFrame:
+    return i.documents.select("doc_id", text.section_anchor(F.expr(_TITLE)).alias("anchor"))
+
+
+@query(with_views(f"select id, title, group_title, {T3('title')} again from articles", "articles"))
+def group_titles(i: Inputs) -> DataFrame:
+    return i.articles.select("id", "title", "group_title", text.group_title(F.col("title")).alias("again"))
+
+
+@query(with_views(f"select sgs.id, 'https://en.wikipedia.org/wiki/' || a.title || coalesce('#' || {T2('x.title')}, '') url from sgs join senses s on s.id = sgs.sense left join articles a on a.id = s.article_id left join raw_sections x on x.article_id = s.article_id and x.section_index = s.section_index", "sgs"))
+def sense_urls(i: Inputs) -> DataFrame:
+    return sen.sense_urls(i.sgs, i.senses, i.articles, i.raw_sections)
+
+
+@query("select doc_id, i par_idx, s start, p \"text\" from (select doc_id, unnest(ps) p, generate_subscripts(ps, 1) - 1 i, unnest(ss) s from (select doc_id, ps, list_transform(range(1, len(ps) + 1), lambda k: coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: len(x) + 1)), 0)::bigint) ss from (select doc_id, string_split(coalesce(text, ''), chr(10)) ps from documents))) where p <> ''")
+def paragraph_split(i: Inputs) -> DataFrame:
+    return tokens.paragraphs(i.documents)
+
+
+_TOKENS = f"""with p as (select doc_id, unnest(ps) v, generate_subscripts(ps, 1) pos from (select doc_id, {_PIECES("text")} ps from documents)),
+t as (select doc_id, pos, v, sum(len(v)) over (partition by doc_id order by pos)::bigint e, lag(v) over (partition by doc_id order by pos) b, lead(v) over (partition by doc_id order by pos) a from p),
+tok as (select doc_id, row_number() over (partition by doc_id order by pos) tok, e - len(v) start, e "end", v "value", case when b ~ '\\s+' then b else '' end "before", case when a ~ '\\s+' then a else '' end "after" from t where not v ~ '\\s+'),
+sent as (select *, coalesce(sum(case when "value" in ('.', '!', '?') and "after" <> '' then 1 else 0 end) over (partition by doc_id order by tok rows between unbounded preceding and 1 preceding), 0)::bigint sentence from tok)
+""".replace("~ '", "similar to '")
+
+
+@query(_TOKENS + "select * from tok")
+def tokenize_lossless(i: Inputs) -> DataFrame:
+    return tokens.tokens(i.documents, ["doc_id"])
+
+
+@query(_TOKENS + 'select doc_id, sentence, count(*) n_tokens, min(start) start, max("end") "end" from sent group by 1, 2')
+def sentence_split(i: Inputs) -> DataFrame:
+    s = tokens.sentences(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"])
+    return s.groupBy("doc_id", "sentence").agg(F.count("*").alias("n_tokens"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+_PARS = "select doc_id, unnest(ps) p, generate_subscripts(ps, 1) - 1 par_idx from (select doc_id, string_split(coalesce(text, ''), chr(10)) ps from documents)"
+
+
+@query(f"select doc_id, par_idx, len(list_filter({_PIECES('p')}, lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '')) n_tokens from ({_PARS}) where len(list_filter({_PIECES('p')}, lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '')) >= 5")
+def min_tokens(i: Inputs) -> DataFrame:
+    p = tokens.paragraphs(i.documents).select("doc_id", "par_idx", "text")
+    return tokens.tokens(p, ["doc_id", "par_idx"]).groupBy("doc_id", "par_idx").agg(F.count("*").alias("n_tokens")).where("n_tokens >= 5")
+
+
+@query("select doc_id, trim(text, chr(32) || chr(10)) \"text\" from documents where trim(coalesce(text, ''), chr(32) || chr(10)) <> ''")
+def reconstruct_text(i: Inputs) -> DataFrame:
+    t = tokens.reconstructed(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"])
+    return t.select("doc_id", F.expr("trim(BOTH ' \n' FROM text)").alias("text"))
+
+
+@query(f"select doc_id, par_idx, len(string_split(p, ' ')) < 5 or len(p) < 15 or len(regexp_replace(p, '[^A-Za-z]', '', 'g')) < 0.5 * len(p) poor from ({_PARS}) where p <> ''")
+def paragraph_quality(i: Inputs) -> DataFrame:
+    return tokens.paragraphs(i.documents).select("doc_id", "par_idx", text.is_poor(F.col("text")).alias("poor"))
+
+
+@query(f"select page_id, regexp_matches(html, '{text.RESIDUE}') residue from pages")
+def markup_residue(i: Inputs) -> DataFrame:
+    return i.pages.select("page_id", text.has_residue(F.col("html")).alias("residue"))
+
+
+@query(r"select page_id, regexp_replace(html, '\s{2,}|\n', ' ', 'g') flat from pages")
+def collapse_space(i: Inputs) -> DataFrame:
+    return i.pages.select("page_id", text.collapse_space(F.col("html")).alias("flat"))
+
+
+@query("select item_id, len(g) n, md5(array_to_string(g, ' ')) digest from (select item_id, list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]), list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2]))) g from (select item_id, string_split(text, ' ') w from benchmark))")
+def ngrams(i: Inputs) -> DataFrame:
+    g = i.benchmark.select("item_id", text.n_grams(F.split("text", " "), 3).alias("g"))
+    return g.select("item_id", F.size("g").alias("n"), F.md5(F.array_join("g", " ")).alias("digest"))
+
+
+_KEPT = f"list_transform(list_filter({_PIECES('text')}, lambda x: trim(x, chr(32) || chr(10)) <> '' and not x in ('.', ',', ';', ':', '!', '?', '(', ')', '[', ']', '{{', '}}', '\"', '''')), lambda x: lower(x))".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"select item_id, len(g) n, md5(array_to_string(g, ' ')) digest from (select item_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) g from (select item_id, {_KEPT} w from benchmark))")
+def prepare_tokens(i: Inputs) -> DataFrame:
+    s = F.struct("tok", "value", F.lit(None).cast("string").alias("pos"), F.lit(None).cast("string").alias("lemma"))
+    t = tokens.tokens(i.benchmark, ["item_id"]).groupBy("item_id").agg(F.array_sort(F.collect_list(s)).alias("t"))
+    g = t.select("item_id", text.prepare_tokens(F.col("t"), 2).alias("g"))
+    return g.select("item_id", F.size("g").alias("n"), F.md5(F.array_join("g", " ")).alias("digest"))
+
+
+@query("select w token, ('0x' || substr(md5(w), 1, 15))::bigint % 10000000 bucket from (select distinct unnest(string_split(text, ' ')) w from documents)")
+def hash_buckets(i: Inputs) -> DataFrame:
+    return i.documents.select(F.explode(F.split("text", " ")).alias("token")).distinct().select("token", text.bucket(F.col("token"), 10_000_000).alias("bucket"))
+
+
+@query("select item_id, trim(text, chr(32) || chr(10)) \"text\" from benchmark")
+def token_join(i: Inputs) -> DataFrame:
+    s = F.struct("tok", "value", F.lit(None).cast("string").alias("lemma"), "before")
+    t = tokens.tokens(i.benchmark, ["item_id"]).groupBy("item_id").agg(F.array_sort(F.collect_list(s)).alias("t"))
+    return t.select("item_id", text.join_tokens(F.col("t")).alias("text"))
+
+
+# ---- sections, categories, links
+
+
+@query(with_views("select article_id, section_index, parent_index, title, paragraph_count from counted", "counted"))
+def section_counts(i: Inputs) -> DataFrame:
+    return sec.with_counts(i.raw_sections, i.paragraph_counts).select("article_id", "section_index", "parent_index", "title", "paragraph_count")
+
+
+@query(with_views("select article_id, section_index, paragraph_count, total_paragraph_count from sections", "sections"))
+def section_rollup(i: Inputs) -> DataFrame:
+    return i.sections.select("article_id", "section_index", "paragraph_count", "total_paragraph_count")
+
+
+_LEVELS = "select p_partkey article_id, s section_index, case when s > 0 then 2 + (p_partkey * 7 + s * 5) % 3 end level from part, range(7) t(s)"
+
+
+@query(f"with h as ({_LEVELS}) select a.article_id, a.section_index, coalesce(a.level, 2)::int level, max(b.section_index) parent_index from h a left join h b on a.article_id = b.article_id and b.section_index < a.section_index and coalesce(b.level, 2) < coalesce(a.level, 2) group by all")
+def section_parent(i: Inputs) -> DataFrame:
+    s = i.part.select(F.col("p_partkey").alias("article_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).cast("bigint").alias("section_index"))
+    return sec.parents(s.selectExpr("article_id", "section_index", "if(section_index > 0, cast(2 + (article_id * 7 + section_index * 5) % 3 as int), null) level"))
+
+
+_SUB = "select 0 category_id, 1 + r_regionkey subcategory_id from region union all select 1 + n_regionkey, 100 + n_nationkey from nation union all select 100, 1"
+
+
+def _subcategories(i: Inputs) -> DataFrame:
+    up = i.region.selectExpr("cast(0 as bigint) category_id", "cast(1 + r_regionkey as bigint) subcategory_id")
+    down = i.nation.selectExpr("cast(1 + n_regionkey as bigint) category_id", "cast(100 + n_nationkey as bigint) subcategory_id")
+    return up.unionByName(down).unionByName(i.region.where("r_regionkey = 0").selectExpr("cast(100 as bigint) category_id", "cast(1 as bigint) subcategory_id"))
+
+
+_CLOSURE = f"with recursive sub as ({_SUB}), c as (select 1::bigint category_id union select sub.subcategory_id from sub join c using (category_id)) "
+
+
+def _closure(i: Inputs) -> DataFrame:
+    return cat.closure(_subcategories(i), i.region.where("r_regionkey = 0").selectExpr("cast(1 as bigint) category_id"))
+
+
+@query(_CLOSURE + "select category_id from c")
+def category_closure(i: Inputs) -> DataFrame:
+    return _closure(i)
+
+
+@query(_CLOSURE + "select p_partkey id, (100 + p_partkey % 25 in (select category_id from c))::int is_disambig from part")
+def disambig_flags(i: Inputs) -> DataFrame:
+    a = i.part.select(F.col("p_partkey").alias("id"))
+    member = a.select(F.col("id").alias("article_id"), (100 + F.col("id") % 25).alias("category_id"))
+    return cat.flag_disambiguation(a, member, _closure(i)).select("id", "is_disambig")
+
+
+@query("select 'page' kind, 100 + p_partkey % 25 category_id, p_partkey member from part where p_partkey % 3 > 0 union all select 'subcat', 100 + n_nationkey, n_nationkey from nation")
+def category_links(i: Inputs) -> DataFrame:
+    categories = i.nation.selectExpr("cast(100 + n_nationkey as bigint) id", "n_name title")
+    pages = i.part.selectExpr("p_partkey from_id", "concat('NATION_', p_partkey % 25) title", "'page' type")
+    subs = i.nation.selectExpr("cast(n_nationkey as bigint) from_id", "n_name title", "'subcat' type")
+    other = i.nation.selectExpr("cast(n_nationkey as bigint) from_id", "n_name title", "'file' type").unionByName(i.nation.selectExpr("cast(1 as bigint) from_id", "'nowhere' title", "'page' type"))
+    sub, page = cat.resolve_links(pages.unionByName(subs).unionByName(other), categories, i.part.where("p_partkey % 3 > 0").selectExpr("p_partkey id"))
+    return page.selectExpr("'page' kind", "category_id", "article_id member").unionByName(sub.selectExpr("'subcat' kind", "category_id", "subcategory_id member"))
+
+
+@query(with_views("select * from r3", "r3"))
+def redirect_resolve(i: Inputs) -> DataFrame:
+    return links.resolve_redirects(i.redirects)
+
+
+@query(with_views("""select u.article_id, u.section_index, a.id linked_article_id, case when s = '' then -1 else x.section_index end linked_section_index, link_title, p.is_disambig is_on_disambig_page
+from (select u.article_id, u.section_index, coalesce(r3.target, u.linked_article) t, case when r3.target is not null and linked_section = '' then coalesce(r3.section, '') else linked_section end s, link_title from unresolved u left join r3 on r3.title = u.linked_article) u
+join articles a on a.title = t and a.redirect_article_title is null left join section_ids x on x.article_id = a.id and x.id_string = s join articles p on p.id = u.article_id where s = '' or x.section_index is not null""", "r3"))
+def link_resolve(i: Inputs) -> DataFrame:
+    found = links.resolve(i.unresolved_links, links.resolve_redirects(i.redirects), i.articles, i.section_ids)
+    return found.select("article_id", "section_index", "linked_article_id", F.col("linked_section_index").cast("bigint").alias("linked_section_index"), "link_title", "is_on_disambig_page")
+
+
+@query(_TOKENS + ', ends as (select doc_id, list("end" order by sentence) e from (select doc_id, sentence, max("end") "end" from sent group by 1, 2) group by 1), l as (select doc_id, unnest(range(0, len(text), 97)) b from documents) select doc_id, b begin, len(list_filter(e, lambda x: x <= b)) sentence from l join ends using (doc_id)')
+def link_sentence_asof(i: Inputs) -> DataFrame:
+    s = tokens.sentences(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"]).groupBy("doc_id", "sentence").agg(F.max("end").alias("end"))
+    ends = s.groupBy("doc_id").agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    at = i.documents.where("length(text) > 0").select("doc_id", F.explode(F.expr("sequence(0L, cast(length(text) - 1 as bigint), 97L)")).alias("begin"))
+    return at.join(ends, "doc_id").select("doc_id", "begin", links.sentence_of(F.col("begin"), F.col("ends")).cast("bigint").alias("sentence"))
+
+
+# ---- senses
+
+
+@query(with_views("select article_id, section_index from see_also", "see_also"))
+def see_also_sections(i: Inputs) -> DataFrame:
+    return i.see_also
+
+
+@query(with_views("select * from disambig_links", "disambig_links"))
+def disambig_links(i: Inputs) -> DataFrame:
+    return i.disambig_links
+
+
+@query(with_views("select * from total_counts", "total_counts"))
+def link_counts_total(i: Inputs) -> DataFrame:
+    return sen.total_counts(i.distinct_links)
+
+
+@query(with_views("select * from matching_counts", "matching_counts"))
+def link_counts_matching(i: Inputs) -> DataFrame:
+    return sen.matching_counts(i.distinct_links)
+
+
+@query(with_views("select * from link_counts", "link_counts"))
+def link_counts_other(i: Inputs) -> DataFrame:
+    return i.link_counts
+
+
+@query(with_views("select article_id, sum(paragraph_count)::bigint n from sections group by 1", "sections"))
+def article_paragraph_sum(i: Inputs) -> DataFrame:
+    return i.sections.groupBy("article_id").agg(F.sum("paragraph_count").alias("n"))
+
+
+@query(with_views("select * from grouped", "grouped"))
+def grouped_links(i: Inputs) -> DataFrame:
+    return i.grouped
+
+
+@query(with_views("select * from raw_senses", "raw_senses"))
+def raw_senses(i: Inputs) -> DataFrame:
+    return i.raw_senses
+
+
+@query(with_views("select * from groups", "groups"))
+def sense_group_ids(i: Inputs) -> DataFrame:
+    return i.groups
+
+
+@query(with_views("select * from senses", "senses"))
+def sense_ids(i: Inputs) -> DataFrame:
+    return i.senses
+
+
+@query(with_views("select * from sgs", "sgs"))
+def sense_group_senses(i: Inputs) -> DataFrame:
+    return i.sgs
+
+
+@query(with_views("select * from alternatives", "alternatives"))
+def alternative_titles(i: Inputs) -> DataFrame:
+    return i.alternatives
+
+
+@query(with_views("select id, group_title title from groups union all select id, alternative_group_title from groups join alternatives using (group_title)", "alternatives"))
+def export_group_titles(i: Inputs) -> DataFrame:
+    return sen.export_group_titles(i.groups, i.alternatives)
+
+
+@query(with_views("select sense_group, string_agg(id, ',' order by id) possible_senses from sgs group by 1 having count(*) > 1", "sgs"))
+def possible_senses(i: Inputs) -> DataFrame:
+    return sen.possible_senses(i.sgs, True).select("sense_group", F.array_join(F.col("possible_senses").cast("array<string>"), ",").alias("possible_senses"))
+
+
+# ---- examples
+
+
+def _link_examples(i: Inputs) -> DataFrame:
+    return exa.link_examples(i.links, i.raw_senses, i.sgs, i.groups, i.senses)
+
+
+@query(with_views("select * from link_examples", "link_examples"))
+def link_examples(i: Inputs) -> DataFrame:
+    return _link_examples(i)
+
+
+@query(with_views("select * from paragraph_examples", "paragraph_examples"))
+def paragraph_examples(i: Inputs) -> DataFrame:
+    return exa.paragraph_examples(i.sgs, i.senses, i.sections)
+
+
+@query(with_views('select "label", count(*) n from link_examples group by 1', "link_examples"))
+def examples_per_label(i: Inputs) -> DataFrame:
+    return exa.per_label(_link_examples(i))
+
+
+@query(with_views('select "label", q from quotas', "quotas"))
+def split_quota(i: Inputs) -> DataFrame:
+    return exa.per_label(_link_examples(i)).select("label", text.quota(F.col("n"), 0.15).alias("q"))
+
+
+@query(with_views("select * from split", "split"))
+def split_owner(i: Inputs) -> DataFrame:
+    return exa.split_by_owner(_link_examples(i))
+
+
+def _doc_sentences(i: Inputs) -> DataFrame:
+    """Sentences of documents, as those of article doc_id, section 0, paragraph 0."""
+    s = tokens.sentences(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"])
+    t = s.groupBy("doc_id", "sentence").agg(F.array_sort(F.collect_list(F.struct("tok", "value"))).alias("t"))
+    return t.select(F.col("doc_id").alias("article_id"), F.lit(0).cast("bigint").alias("section_index"), F.lit(0).cast("bigint").alias("paragraph_index"), F.col("sentence").cast("bigint").alias("sentence_index"), F.expr("transform(t, x -> x.value)").alias("tokens"))
+
+
+def _doc_examples(i: Inputs) -> DataFrame:
+    return i.lineitem.selectExpr("l_orderkey article_id", "0L section_index", "cast(l_linenumber > 6 as bigint) paragraph_index", "if(l_suppkey % 3 = 0, null, l_suppkey % 3) sentence_index", "l_partkey % 10 label").distinct()
+
+
+_DOC_EXAMPLES = 'ex as (select distinct l_orderkey article_id, 0 section_index, (l_linenumber > 6)::bigint paragraph_index, case when l_suppkey % 3 > 0 then l_suppkey % 3 end sentence_index, l_partkey % 10 "label" from lineitem)'
+
+
+@query(_TOKENS + f', {_DOC_EXAMPLES}, w as (select doc_id, string_agg("value", \' \' order by tok) s, count(*) n from tok group by 1) select article_id, sentence_index, "label", n n_tokens, md5(s) digest from ex join w on doc_id = article_id where paragraph_index = 0')
+def example_join(i: Inputs) -> DataFrame:
+    j = exa.join_tokens(_doc_examples(i), _doc_sentences(i))
+    return j.select("article_id", "sentence_index", "label", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(f"with {_DOC_EXAMPLES} select * from ex where paragraph_index = 1 or article_id not in (select doc_id from documents where text similar to '(.|\\n)*[^ \\n](.|\\n)*')")
+def example_unmatched(i: Inputs) -> DataFrame:
+    return exa.unmatched(_doc_examples(i), _doc_sentences(i)).select("article_id", "section_index", "paragraph_index", "sentence_index", "label")
+
+
+@query(_TOKENS + f', {_DOC_EXAMPLES} select article_id, sentence sentence_index, "label", count(*) n_tokens from ex join sent on doc_id = article_id and paragraph_index = 0 and (sentence_index is null or sentence = sentence_index) group by article_id, sentence, sentence_index, "label"')
+def sentence_fanout(i: Inputs) -> DataFrame:
+    j = exa.join_tokens(_doc_examples(i), _doc_sentences(i), True)
+    return j.select("article_id", "sentence_index", "label", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+# ---- disambiguation
+
+_WORDS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}]+'), lambda x: lower(x))"
+_PHRASES = f"""dw as (select doc_id, lang, {_WORDS} w from documents),
+g as (select distinct lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) phrase from dw),
+ph as (select phrase, lang, dense_rank() over (order by phrase, lang) - 1 "label" from g where phrase in (select phrase from g group by 1 having count(*) > 1))"""
+_SPANS = """sp as (select doc_id, start, "end", lower("value") phrase from tok union all
+select doc_id, start, e2, lower("value" || b2 || v2) from (select *, lead("value") over w v2, lead("before") over w b2, lead("end") over w e2 from tok window w as (partition by doc_id order by tok)) where v2 is not null)"""
+
+
+def phrases(i: Inputs) -> DataFrame:
+    """(phrase, lang, label) of words and pairs of words that stand in documents of two languages or more."""
+    w = i.documents.select("lang", F.expr(r"transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+', 0), x -> lower(x))").alias("w"))
+    pairs = F.expr("if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])))")
+    g = w.select("lang", F.explode(F.concat("w", pairs)).alias("phrase")).distinct()
+    both = g.groupBy("phrase").agg(F.collect_list("lang").alias("langs")).where("size(langs) > 1").select("phrase", F.explode("langs").alias("lang"))
+    return sen.dense_ids(both, [F.asc("phrase"), F.asc("lang")], "label")
+
+
+def _spans(i: Inputs) -> DataFrame:
+    return infer.spans(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"], 2)
+
+
+@query(_TOKENS + f", {_PHRASES}, {_SPANS} select doc_id, start, \"end\", phrase from sp where phrase in (select phrase from ph)")
+def phrase_spans(i: Inputs) -> DataFrame:
+    return infer.match(_spans(i), phrases(i).select("phrase").distinct()).select("doc_id", "start", "end", "phrase")
+
+
+@query("select l_orderkey, l_linenumber, l_shipmode from (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then true when l_partkey % 2 = 0 and l_suppkey % 2 = 0 then false else true end ok, case when l_linenumber % 3 = 0 then 'null,VB' when l_partkey % 2 = 0 and l_suppkey % 2 = 0 then 'VB,DT' else 'DT,NN' end l_shipmode from lineitem) where ok")
+def pos_gate(i: Inputs) -> DataFrame:
+    tags = F.expr("case when l_linenumber % 3 = 0 then array(null, 'VB') when l_partkey % 2 = 0 and l_suppkey % 2 = 0 then array('VB', 'DT') else array('DT', 'NN') end")
+    t = i.lineitem.select("l_orderkey", "l_linenumber", tags.alias("tags")).where(text.noun_like(F.col("tags")))
+    return t.select("l_orderkey", "l_linenumber", F.array_join("tags", ",", "null").alias("l_shipmode"))
+
+
+@query(_TOKENS + f', {_PHRASES}, {_SPANS} select doc_id, string_agg("label", \',\' order by "label") candidates from (select distinct doc_id, "label" from sp join ph using (phrase)) group by 1')
+def candidate_union(i: Inputs) -> DataFrame:
+    c = phrases(i).groupBy("phrase").agg(F.array_sort(F.collect_list("label")).alias("candidates"))
+    u = infer.candidate_union(infer.match(_spans(i), c), ["doc_id"])
+    return u.select("doc_id", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
+
+
+_SCORE = F.substring(F.md5(F.concat_ws(":", "phrase", "label")), 1, 8)
+_BEST = _TOKENS + f""", {_PHRASES}, {_SPANS},
+best as (select doc_id, start, "end", phrase, arg_max("label", (substr(md5(phrase || ':' || "label"), 1, 8), "label")) "label" from sp join ph using (phrase) group by 1, 2, 3, 4)
+"""
+
+
+@query(_BEST + 'select doc_id, start, "end", "label" from best')
+def best_sense(i: Inputs) -> DataFrame:
+    found = infer.match(_spans(i), phrases(i)).withColumn("logit", _SCORE)
+    return infer.best_sense(found, ["doc_id", "start", "end"]).select("doc_id", "start", "end", "label")
+
+
+@query(_BEST + 'select doc_id, start, "end", coalesce("end" <= max("end") over (partition by doc_id order by start, "end" desc rows between unbounded preceding and 1 preceding), false)::int nested from best')
+def nested_ranges(i: Inputs) -> DataFrame:
+    found = infer.match(_spans(i), phrases(i)).withColumn("logit", _SCORE)
+    return infer.nested(infer.best_sense(found, ["doc_id", "start", "end"]), ["doc_id"]).select("doc_id", "start", "end", "nested")
+
+
+def urls(i: Inputs, ph: DataFrame) -> DataFrame:
+    return ph.select("label", text.sense_url(F.translate("phrase", " ", "_"), F.col("lang")).alias("url"))
+
+
+@query(_BEST + "select doc_id, start, \"end\", best.\"label\", 'https://en.wikipedia.org/wiki/' || replace(ph.phrase, ' ', '_') || '#' || lang url from best join ph using (\"label\")")
+def disambiguate(i: Inputs) -> DataFrame:
+    ph = phrases(i)
+    return infer.disambiguate(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"], ph.select("phrase", "label"), _SCORE, urls(i, ph))
+
+
+# ---- model arithmetic and evaluation
+
+_SIZE = 64
+_FEATURES = "f as (select item_id, ('0x' || substr(md5(w), 1, 15))::bigint % 500 bucket from (select item_id, unnest(string_split(text, ' ')) w from benchmark))"
+_POOLED = _FEATURES + ", pe as (select item_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from f join embeddings on vec_id = bucket)"
+
+
+def _features(i: Inputs) -> DataFrame:
+    return i.benchmark.select("item_id", F.explode(F.split("text", " ")).alias("t")).select("item_id", text.bucket(F.col("t"), 500).alias("bucket"))
+
+
+def _vectors(i: Inputs) -> DataFrame:
+    return i.embeddings.select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vec"))
+
+
+def _pool(i: Inputs, how: str) -> DataFrame:
+    return infer.pool(_features(i), _vectors(i), ["item_id"], _SIZE, how)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("item_id", F.posexplode("x").alias("i", "x")).select("item_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"with {_POOLED} select item_id, i, round(avg(x), 6) x from pe group by 1, 2")
+def pool_mean(i: Inputs) -> DataFrame:
+    return _rounded(_pool(i, "mean"))
+
+
+@query(f"with {_POOLED} select item_id, i, round(sum(x) / sqrt(count(*)), 6) x from pe group by 1, 2")
+def pool_sqrtn(i: Inputs) -> DataFrame:
+    return _rounded(_pool(i, "sqrtn"))
+
+
+_LOGITS = _POOLED + """, pm as (select item_id, i, avg(x) x from pe group by 1, 2),
+wanted as (select item_id, unnest([item_id % 20, (item_id * 7 + 3) % 20]) "label" from benchmark), want as (select distinct * from wanted),
+ow as (select vec_id "label", unnest(embedding)::double w, generate_subscripts(embedding, 1) - 1 i, vec_id * 0.01 b from embeddings where vec_id < 20),
+lg as (select item_id, "label", sum(x * w) + any_value(b) logit from want join pm using (item_id) join ow using ("label", i) group by 1, 2)"""
+
+
+def _logits(i: Inputs) -> DataFrame:
+    wanted = i.benchmark.select("item_id", F.explode(F.expr("array(item_id % 20, (item_id * 7 + 3) % 20)")).alias("label"))
+    out = i.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
+    return infer.logits(_pool(i, "mean"), wanted, out, ["item_id"])
+
+
+@query(f'with {_LOGITS} select item_id, "label", round(logit, 6) logit from lg')
+def candidate_logits(i: Inputs) -> DataFrame:
+    return _logits(i).select("item_id", "label", F.round("logit", 6).alias("logit"))
+
+
+@query(f'with {_LOGITS} select round(avg(z - own), 6) loss, count(*) n from (select item_id, ln(sum(exp(logit))) z, max(case when "label" = item_id % 20 then logit end) own from lg group by 1)')
+def softmax_loss(i: Inputs) -> DataFrame:
+    s = _logits(i).withColumn("sense", F.col("item_id") % 20)
+    return metrics.softmax_loss(s, ["item_id"]).select(F.round("loss", 6).alias("loss"), "n")
+
+
+def _predictions(i: Inputs) -> DataFrame:
+    return i.events.selectExpr("event_id % 7 sense", "if(user_id % 3 = 0, event_id % 7, user_id % 7) predicted")
+
+
+_PREDICTIONS = "p as (select event_id % 7 sense, case when user_id % 3 = 0 then event_id % 7 else user_id % 7 end predicted from events)"
+
+
+@query(f"with {_PREDICTIONS} select round(avg((sense = predicted)::int), 6) accuracy, count(*) n from p")
+def accuracy(i: Inputs) -> DataFrame:
+    return metrics.accuracy(_predictions(i)).select(F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+@query(f"with {_PREDICTIONS} select round(avg(a), 6) mean_per_class_accuracy, count(*) n_classes from (select sense, avg((sense = predicted)::int) a from p group by 1)")
+def per_class_accuracy(i: Inputs) -> DataFrame:
+    return metrics.per_class_accuracy(_predictions(i)).select(F.round("mean_per_class_accuracy", 6).alias("mean_per_class_accuracy"), "n_classes")
+
+
+@query("select max(event_id % 7) + 1 n_labels from events")
+def label_count(i: Inputs) -> DataFrame:
+    return metrics.number_of_labels(_predictions(i))
+
+
+@query("select event_id step, user_id, round(a, 6) average, round(a - lag(a) over (partition by user_id order by event_id), 6) slope from (select event_id, user_id, avg(value) over (partition by user_id order by event_id rows between 4 preceding and current row) a from events)")
+def metric_moving_avg(i: Inputs) -> DataFrame:
+    m = metrics.moving_average(i.events.select(F.col("event_id").alias("step"), "user_id", "value"), 5, ["user_id"])
+    return m.select("step", "user_id", F.round("average", 6).alias("average"), F.round("slope", 6).alias("slope"))
