@@ -82,8 +82,8 @@ def links(prints: DataFrame, tables: Tables) -> DataFrame:
         # the band left out holds its own number; keys of two bands may still agree, and the comparison decides
         base = F.col("print").bitwiseAND(F.lit(_long(mask))).bitwiseOR(F.lit(_long(band << (BAND * band))))
         flips = [0, *(1 << k for k in range(64) if k // BAND != band)]
-        keys.append(F.transform(F.array(*(F.lit(_long(x)) for x in flips)), lambda f, base=base: base.bitwiseXOR(f)))
-    emitted = prints.select("print", F.explode(F.concat(*keys)).alias("at"))
+        keys += [base.bitwiseXOR(F.lit(_long(f))) for f in flips]
+    emitted = prints.select("print", F.explode(F.array(*keys)).alias("at"))
     met = emitted.withColumn("n", F.count("*").over(Window.partitionBy("at"))).where("n > 1")
     members = tables.write(met)
     few = members.where(F.col("n") <= PAIRED).select("at", "print")
