@@ -2,12 +2,13 @@
 
 A text is a sequence of words (ASCII letters lower-cased, cut at ASCII white space) and one
 end. A word that the training texts hold c times of N has the probability
-max(c - D, 0) / N (absolute discounting, D = 0.75); what the discounts free, D V / N in all, goes to the lattice:
+(c - D) / N, by absolute discounting with D = n1 / (n1 + 2 n2) from the numbers of words held once and
+twice; what the discounts free, D V / N in all, goes to the lattice:
 the pieces of an existing unigram vocabulary, a word being spelled by a piece with the
 word mark and pieces without. All segmentations count: the probability of a word is their sum, by a
 forward recursion in log space. The pieces' weights start from the vocabulary's own scores and are
-re-estimated by expectation-maximisation (forward-backward over all distinct
-words of the training texts, weighted by their counts). As no piece reaches over a word mark,
+re-estimated by expectation-maximisation: forward-backward over all distinct
+words of the training texts, each once, as the freed mass comes equally from each. As no piece reaches over a word mark,
 the marginal probability of a document is the product over its words, so the
 recursion runs once for each distinct word of the corpus and not for each of its places.
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from ._shared import Tables
 
 MARK = "▁"
-DISCOUNT = 0.75
 #: Words sent to every task: number, and bytes of each at most.
 HEAD, HEAD_BYTES = 100_000, 40
 #: Distinct words that a task counts before it hands them on.
@@ -277,7 +277,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, vocabulary_path: str, rounds: int = 3, smooth: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents(doc_id, text, ...).
 
     Trained on the rows whose crc32(doc_id as text) mod 10 isn't 0. base_score: sum of
@@ -291,7 +291,7 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float
     tables = Tables(spark)
     counted = tables.write(count_words(docs))
     ends = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d")).where("crc32(encode(d, 'utf-8')) % 10 <> 0").count()
-    sums = counted.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    sums = counted.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     n, v = (sums.n or 0) + ends, sums.v + (1 if ends else 0)
 
     logp = None
@@ -303,30 +303,31 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float
             lattice = _lattice(vocabulary_path, start if logp is None else logp)
             use = np.zeros(len(lattice.pieces))
             for b in batches:
-                use += lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float))
+                use += lattice.expected(b.column(0).to_pylist(), np.ones(b.num_rows))
             at = np.flatnonzero(use)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(at, pa.int32()), "uses": pa.array(use[at], pa.float64())})
 
-        got = counted.where("c > 0").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # as many rows as the vocabulary has pieces
-        use = np.full(len(start), 0.1)
+        got = counted.where("c > 0").select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # as many rows as the vocabulary has pieces
+        use = np.full(len(start), 0.01)
         for r in got:
             use[r.piece] += r.uses
         logp = np.log(use / use.sum())
     weights = start if logp is None else logp
 
-    free = DISCOUNT * sums.v / n if sums.v else 1.0
+    discount = sums.n1 / (sums.n1 + 2 * sums.n2) if sums.n1 and sums.n2 else 0.75
+    free = discount * sums.v / n if sums.v else 1.0
     least = smooth / (n + smooth * (v + 1))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(vocabulary_path, weights)
         for b in batches:
             c = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            own = np.log(np.maximum(c - DISCOUNT, 1e-300) / max(n, 1))
+            own = np.log(np.maximum(c - discount, 1e-300) / max(n, 1))
             spelled = lattice.words(b.column(0).to_pylist()) + np.log(free)
             yield pa.RecordBatch.from_pydict({
                 "word": b.column(0), "c": b.column(1),
                 "base": pa.array(np.log10((c + smooth) / (n + smooth * (v + 1)))),
-                "lp": pa.array(np.where(c > DISCOUNT, np.logaddexp(own, spelled), spelled) / np.log(10)),
+                "lp": pa.array(np.where(c > 0, np.logaddexp(own, spelled), spelled) / np.log(10)),
             })
 
     rated = tables.write(counted.mapInArrow(rate, "word string, c long, base double, lp double"))

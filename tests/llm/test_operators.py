@@ -259,8 +259,8 @@ HARD = [
 
 
 def test_personal_data(spark, docs, odd):
-    rows = [(100 + k, x) for k, x in enumerate(HARD)]
-    df = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text")).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows = [(500 + k, x) for k, x in enumerate(HARD)]
+    df = odd.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 1000 doc_id", "text")).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     found, model = pii.find(df)
     got = found.collect()
     want = [(d, tuple(brute_spans(x))) for d, x in plain(df)]
@@ -270,7 +270,7 @@ def test_personal_data(spark, docs, odd):
         assert places == sorted(places)
     extra = {(r.doc_id, s.kind, s.s, s.e) for r in got for s in r.spans if not s.base}
     x = HARD[4]
-    assert (104, 0, x.index("joe ["), x.index(" phone")) in extra
+    assert (504, 0, x.index("joe ["), x.index(" phone")) in extra
     names = ("email", "ip", "card", "phone")
     d = {r.doc_id: r for r in pii.digest(found).collect()}
     for k, s in want:
@@ -341,7 +341,7 @@ def test_lattice_sums_all_segmentations():
     lattice = lm_score.Lattice(pieces, np.log(p), {b: 8 for b in range(256)})
 
     def brute(s):
-        return 1.0 if not s else sum(p[pieces.index(s[:n])] * brute(s[n:]) for n in range(1, 4) if s[:n] in pieces)
+        return 1.0 if not s else sum(p[pieces.index(s[:n])] * brute(s[n:]) for n in range(1, min(3, len(s)) + 1) if s[:n] in pieces)
 
     words = ["abc", "a", "ababab", "bca", "c" * 70]
     assert np.allclose(np.exp(lattice.words(words)), [brute("▁" + w) for w in words])
@@ -374,9 +374,11 @@ def test_scores(which, odd, docs):
     got = lm_score.score(df, queries.vocabulary("piece_bpe_32k.model")).collect()
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got], list(brute_base(plain(df))))
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    if which == "docs":
-        some = [r for r in got if r.held_out]
-        assert sum(r.score for r in some) > sum(r.base_score for r in some)
+    if which == "docs":  # spelling learnt from the training texts suits held-out texts better than the vocabulary's own scores
+        other = lm_score.score(df, queries.vocabulary("piece_bpe_32k.model"), rounds=0).collect()
+        total = lambda rows: sum(r.score for r in rows if r.held_out)
+        assert total(got) > 0.95 * total(other)
+        assert total(got) > total(other)
 
 
 def test_quality(spark, docs, odd):
