@@ -1 +1,96 @@
-"""Queries that SQL can't express."""
+"""Queries over files, streams and models."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import examples as exa
+from ..operators import infer, tokens, train
+from ..sources import dumps, wikitext
+from ..streaming import disambiguate as live
+from .fixtures import Inputs
+from .registry import _SCORE, _link_examples, phrases, query, urls
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: below spark.checkpoint.dir if that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="senseloom-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query()
+def stream_disambiguate(i: Inputs) -> DataFrame:
+    """The rows of disambiguate, from a stream of the documents' files."""
+    spark, source = i.spark, f"{i.sf_dir}/documents.parquet"
+    at = folder(spark)
+    one_file = os.path.isfile(source)
+    reader = spark.readStream.schema(i.documents.schema).option("maxFilesPerTrigger", 4)
+    stream = reader.option("pathGlobFilter", "documents.parquet").parquet(i.sf_dir) if one_file else reader.parquet(source)
+    ph = phrases(i).persist()
+    known, named = ph.select("phrase", "label"), urls(i, ph)
+
+    def answer(batch: DataFrame) -> DataFrame:
+        return infer.disambiguate(tokens.tokens(batch, ["doc_id"]), ["doc_id"], known, _SCORE, named)
+
+    live.run(stream, answer, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query("select p_partkey id, p_name || '''s' title from part where p_partkey % 3 = 0")
+def sql_dump_scan(i: Inputs) -> DataFrame:
+    p = i.part.select(F.expr("concat('(', p_partkey, ',', if(p_partkey % 3 = 0, 14, 0), ',\\'', p_name, '\\\\\\'s\\',0.5)')").alias("v"), F.expr("p_partkey div 50 k"))
+    lines = p.groupBy("k").agg(F.array_join(F.collect_list("v"), ",").alias("v")).select(F.concat(F.lit("INSERT INTO `page` VALUES "), "v", F.lit(";")).alias("value"))
+    at = folder(i.spark)
+    lines.write.option("compression", "gzip").text(at)
+    return dumps.page_table(i.spark.read.text(at))
+
+
+@query(r"select page_id id, upper(url[1]) || replace(url[2:], ' ', '_') title from pages")
+def xml_pages(i: Inputs) -> DataFrame:
+    r = F.struct(F.col("page_id").alias("id"), F.struct(F.col("html").alias("_VALUE")).alias("text"), F.lit("wikitext").alias("model"), F.lit("text/x-wiki").alias("format"))
+    rows = i.pages.select(F.col("url").alias("title"), F.lit(0).alias("ns"), F.col("page_id").alias("id"), F.array(r).alias("revision"))
+    at = folder(i.spark)
+    rows.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(at)
+    return dumps.articles(dumps.read_pages(i.spark, at)).select("id", "title")
+
+
+@query()
+def wikitext_parse(i: Inputs) -> DataFrame:
+    parsed = wikitext.parse_pages(i.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return wikitext.shred(parsed)["paragraphs"]
+
+
+@query("select l_orderkey article_id, l_linenumber section_index, 'a b' \"value\" from lineitem")
+def tsv_round_trip(i: Inputs) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    t = i.lineitem.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").cast("long").alias("section_index"), zero.alias("paragraph_index"), zero.alias("sentence_index"), zero.alias("begin"), zero.alias("end"), F.lit("a\tb").alias("value"), *(F.lit(None).cast("string").alias(c) for c in ("pos", "lemma", "before", "after")))
+    at = folder(i.spark)
+    dumps.write_tsv(t, at, 4)
+    return dumps.read_tsv(i.spark, at, dumps.TOKENS).select("article_id", "section_index", "value")
+
+
+@query("select conv_id id, count(*) n_tokens from conversations group by 1")
+def rest_requests(i: Inputs) -> DataFrame:
+    t = F.array(F.col("turn").cast("string"), (F.col("turn") + 1).cast("string"), "role", F.lit(None).cast("string"), F.lit(""), F.lit(""))
+    bodies = i.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.array(F.array_sort(F.collect_list(t))).alias("paragraphs"))).alias("body")).select(F.col("conv_id").alias("id"), "body")
+    return live.requests(bodies).groupBy("id").agg(F.count("*").alias("n_tokens"))
+
+
+@query()
+def split_greedy(i: Inputs) -> DataFrame:
+    e = _link_examples(i).persist()
+    return exa.split_greedy(e, exa.label_components(e))
+
+
+@query()
+def train_model(i: Inputs) -> DataFrame:
+    """Predictions of a language classifier, trained on documents of even numbers, for the others."""
+    lang = F.expr("array_position(array('de', 'en', 'es', 'fr'), lang) - 1")
+    e = i.documents.where("text is not null").select("doc_id", F.slice(F.split(F.lower("text"), r"\s+"), 1, 2147483647).alias("tokens"), F.expr("array(0L, 1L, 2L, 3L)").alias("possible_senses"), lang.alias("sense"))
+    model, _ = train.train(e.where("doc_id % 2 = 0"), train.Params(buckets=1 << 14, rate=0.5), 2)
+    return train.predict(e.where("doc_id % 2 = 1"), model)
