@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keep import keep
+
 
 def resolve_links(category_links: DataFrame, categories: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(subcategories, article_categories) from links(from_id, title, type); unknown targets and articles drop out."""
@@ -16,13 +18,13 @@ def resolve_links(category_links: DataFrame, categories: DataFrame, articles: Da
 
 def closure(subcategories: DataFrame, roots: DataFrame, deepest: int = 1000) -> DataFrame:
     """category_id of the roots and all below them; cycles end, as only new categories go on."""
-    seen = frontier = roots.select("category_id").distinct().persist()
-    edges = subcategories.select("category_id", "subcategory_id").distinct()
+    seen = frontier = keep(roots.select("category_id").distinct())
+    edges = keep(subcategories.select("category_id", "subcategory_id").distinct())
     for _ in range(deepest):
-        frontier = edges.join(frontier, "category_id").select(F.col("subcategory_id").alias("category_id")).distinct().join(seen, "category_id", "left_anti").persist()
+        frontier = keep(edges.join(frontier, "category_id").select(F.col("subcategory_id").alias("category_id")).distinct().join(seen, "category_id", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).persist()
+        seen = seen.unionByName(frontier)
     return seen
 
 

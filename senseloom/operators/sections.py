@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keep import keep
+
 
 def with_counts(sections: DataFrame, paragraph_counts: DataFrame) -> DataFrame:
     """sections with paragraph_count, 0 where none were kept."""
@@ -21,7 +23,7 @@ def rollup(sections: DataFrame, deepest: int = 50) -> DataFrame:
     rising = sections.where("parent_index is not null").select("article_id", F.col("parent_index").alias("at"), F.col("paragraph_count").alias("n"))
     gains = []
     for _ in range(deepest):
-        rising = rising.groupBy("article_id", "at").agg(F.sum("n").alias("n")).persist()
+        rising = keep(rising.groupBy("article_id", "at").agg(F.sum("n").alias("n")))
         if rising.isEmpty():
             break
         gains.append(rising)

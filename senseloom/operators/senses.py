@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keep import keep
+
 TARGET = ["linked_article_id", "linked_section_index"]
 PLACE = ["article_id", "section_index", "paragraph_index", "sentence_index"]
 
@@ -80,16 +82,12 @@ def raw_senses(grouped: DataFrame, articles: DataFrame, least: int = 14, least_m
 def dense_ids(df: DataFrame, order: list[Column], name: str = "id", parts: int | None = None) -> DataFrame:
     """0-based ids in the given total order, without one task for all rows.
 
-    Rows are range-partitioned by the order and written to a checkpoint; each partition numbers its own
+    Rows are range-partitioned by the order and written down; each partition numbers its own
     and adds the sizes of those before it.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        placed = placed.checkpoint()
-    else:
-        placed = placed.persist()
+    placed = keep(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__p").orderBy(*order))

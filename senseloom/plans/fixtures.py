@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import sections as sec
 from ..operators import senses as sen
+from ..operators.keep import keep
 
 
 class Inputs:
@@ -37,7 +38,7 @@ class Inputs:
         ).withColumn("group_title", text.group_title(F.col("title")))
 
     def make_raw_sections(self) -> DataFrame:
-        s = self.part.select(F.col("p_partkey").alias("article_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).cast("bigint").alias("section_index"))
+        s = self.part.select(F.col("p_partkey").alias("article_id"), F.explode(F.expr("sequence(0L, 6L)")).alias("section_index"))
         return s.selectExpr("article_id", "section_index", "if(section_index = 0, null, (section_index - 1) div 2) parent_index", "if(section_index = 1, 'See also', concat('Section ', section_index)) title")
 
     def make_w_links(self) -> DataFrame:
@@ -73,34 +74,34 @@ class Inputs:
         return d.groupBy("article_id", "section_index").agg(F.count("*").alias("paragraph_count"))
 
     def make_sections(self) -> DataFrame:
-        return sec.rollup(sec.with_counts(self.raw_sections, self.paragraph_counts)).persist()
+        return keep(sec.rollup(keep(sec.with_counts(self.raw_sections, self.paragraph_counts))))
 
     def make_see_also(self) -> DataFrame:
         return sen.see_also(self.raw_sections, self.articles)
 
     def make_disambig_links(self) -> DataFrame:
-        return sen.disambiguation_links(self.w_links, self.articles, self.see_also)
+        return keep(sen.disambiguation_links(self.w_links, self.articles, self.see_also))
 
     def make_distinct_links(self) -> DataFrame:
-        return sen.distinct_links(self.links)
+        return keep(sen.distinct_links(self.links))
 
     def make_link_counts(self) -> DataFrame:
-        return sen.link_counts(self.distinct_links)
+        return keep(sen.link_counts(self.distinct_links))
 
     def make_grouped(self) -> DataFrame:
         return sen.grouped_links(self.link_counts, self.disambig_links, self.sections)
 
     def make_raw_senses(self) -> DataFrame:
-        return sen.raw_senses(self.grouped, self.articles).persist()
+        return keep(sen.raw_senses(self.grouped, self.articles))
 
     def make_groups(self) -> DataFrame:
-        return sen.sense_groups(self.raw_senses)
+        return keep(sen.sense_groups(self.raw_senses))
 
     def make_senses(self) -> DataFrame:
-        return sen.senses(self.raw_senses)
+        return keep(sen.senses(self.raw_senses))
 
     def make_sgs(self) -> DataFrame:
-        return sen.sense_group_senses(self.raw_senses, self.groups, self.senses)
+        return keep(sen.sense_group_senses(self.raw_senses, self.groups, self.senses))
 
     def make_alternatives(self) -> DataFrame:
         return sen.alternative_titles(self.articles, self.groups)

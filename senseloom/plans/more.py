@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import examples as exa
 from ..operators import infer, tokens, train
+from ..operators.keep import folder, keep
 from ..sources import dumps, wikitext
 from ..streaming import disambiguate as live
 from .fixtures import Inputs
-from .registry import _SCORE, _link_examples, phrases, query, urls
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir if that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="senseloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from .registry import _link_examples, phrases, query, score, urls
 
 
 @query()
@@ -31,11 +24,11 @@ def stream_disambiguate(i: Inputs) -> DataFrame:
     one_file = os.path.isfile(source)
     reader = spark.readStream.schema(i.documents.schema).option("maxFilesPerTrigger", 4)
     stream = reader.option("pathGlobFilter", "documents.parquet").parquet(i.sf_dir) if one_file else reader.parquet(source)
-    ph = phrases(i).persist()
+    ph = keep(phrases(i))
     known, named = ph.select("phrase", "label"), urls(i, ph)
 
     def answer(batch: DataFrame) -> DataFrame:
-        return infer.disambiguate(tokens.tokens(batch, ["doc_id"]), ["doc_id"], known, _SCORE, named)
+        return infer.disambiguate(tokens.tokens(batch, ["doc_id"]), ["doc_id"], known, score(), named)
 
     live.run(stream, answer, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")
@@ -83,7 +76,7 @@ def rest_requests(i: Inputs) -> DataFrame:
 
 @query()
 def split_greedy(i: Inputs) -> DataFrame:
-    e = _link_examples(i).persist()
+    e = keep(_link_examples(i))
     return exa.split_greedy(e, exa.label_components(e))
 
 

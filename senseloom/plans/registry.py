@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -167,7 +167,7 @@ _LEVELS = "select p_partkey article_id, s section_index, case when s > 0 then 2
 
 @query(f"with h as ({_LEVELS}) select a.article_id, a.section_index, coalesce(a.level, 2)::int level, max(b.section_index) parent_index from h a left join h b on a.article_id = b.article_id and b.section_index < a.section_index and coalesce(b.level, 2) < coalesce(a.level, 2) group by all")
 def section_parent(i: Inputs) -> DataFrame:
-    s = i.part.select(F.col("p_partkey").alias("article_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).cast("bigint").alias("section_index"))
+    s = i.part.select(F.col("p_partkey").alias("article_id"), F.explode(F.expr("sequence(0L, 6L)")).alias("section_index"))
     return sec.parents(s.selectExpr("article_id", "section_index", "if(section_index > 0, cast(2 + (article_id * 7 + section_index * 5) % 3 as int), null) level"))
 
 
@@ -408,7 +408,13 @@ def candidate_union(i: Inputs) -> DataFrame:
     return u.select("doc_id", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
-_SCORE = F.substring(F.md5(F.concat_ws(":", "phrase", "label")), 1, 8)
+
+
+def score() -> Column:
+    """A stand-in for a model's logit that other engines can repeat."""
+    return F.substring(F.md5(F.concat_ws(":", "phrase", "label")), 1, 8)
+
+
 _BEST = _TOKENS + f""", {_PHRASES}, {_SPANS},
 best as (select doc_id, start, "end", phrase, arg_max("label", (substr(md5(phrase || ':' || "label"), 1, 8), "label")) "label" from sp join ph using (phrase) group by 1, 2, 3, 4)
 """
@@ -416,13 +422,13 @@ best as (select doc_id, start, "end", phrase, arg_max("label", (substr(md5(phras
 
 @query(_BEST + 'select doc_id, start, "end", "label" from best')
 def best_sense(i: Inputs) -> DataFrame:
-    found = infer.match(_spans(i), phrases(i)).withColumn("logit", _SCORE)
+    found = infer.match(_spans(i), phrases(i)).withColumn("logit", score())
     return infer.best_sense(found, ["doc_id", "start", "end"]).select("doc_id", "start", "end", "label")
 
 
 @query(_BEST + 'select doc_id, start, "end", coalesce("end" <= max("end") over (partition by doc_id order by start, "end" desc rows between unbounded preceding and 1 preceding), false)::int nested from best')
 def nested_ranges(i: Inputs) -> DataFrame:
-    found = infer.match(_spans(i), phrases(i)).withColumn("logit", _SCORE)
+    found = infer.match(_spans(i), phrases(i)).withColumn("logit", score())
     return infer.nested(infer.best_sense(found, ["doc_id", "start", "end"]), ["doc_id"]).select("doc_id", "start", "end", "nested")
 
 
@@ -433,7 +439,7 @@ def urls(i: Inputs, ph: DataFrame) -> DataFrame:
 @query(_BEST + "select doc_id, start, \"end\", best.\"label\", 'https://en.wikipedia.org/wiki/' || replace(ph.phrase, ' ', '_') || '#' || lang url from best join ph using (\"label\")")
 def disambiguate(i: Inputs) -> DataFrame:
     ph = phrases(i)
-    return infer.disambiguate(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"], ph.select("phrase", "label"), _SCORE, urls(i, ph))
+    return infer.disambiguate(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"], ph.select("phrase", "label"), score(), urls(i, ph))
 
 
 # ---- model arithmetic and evaluation
