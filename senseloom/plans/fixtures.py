@@ -175,7 +175,18 @@ VIEWS: dict[str, str] = {
 
 
 def with_views(query: str, *names: str) -> str:
-    """The query behind all views up to the last one that it names."""
-    order = list(VIEWS)
-    last = max(order.index(n) for n in names)
-    return "with recursive " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in order[: last + 1]) + "\n" + query
+    """The query behind the named views and those that they use, each evaluated once."""
+    import re
+
+    wanted, todo = set(), list(names)
+    while todo:
+        n = todo.pop()
+        if n not in wanted:
+            wanted.add(n)
+            todo += [w for w in set(re.findall(r"\w+", VIEWS[n])) if w in VIEWS and w != n]
+    todo = [w for w in set(re.findall(r"\w+", query)) if w in VIEWS]
+    for n in todo:
+        if n not in wanted:
+            wanted |= {n}
+            todo += [w for w in set(re.findall(r"\w+", VIEWS[n])) if w in VIEWS and w != n]
+    return "with recursive " + ",\n".join(f"{n} as {'' if n == 'up' else 'materialized '}({VIEWS[n]})" for n in VIEWS if n in wanted) + "\n" + query
