@@ -16,7 +16,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier scores 0.5 or more."""
     ship(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
-    return quality.score(docs, model, tuple(docs.columns)).where("score >= 0.5").drop("score")
+    return quality.score(docs, model, tuple(docs.columns), "__score").where("__score >= 0.5").drop("__score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

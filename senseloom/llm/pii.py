@@ -189,19 +189,20 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """The rows with each span, or run of overlapping spans, replaced by [KIND] of its first; n_chars, if there, follows the text."""
     columns = docs.columns
-    kept = [c for c in columns if c != text]
+    own = {c: f"__{k}" for k, c in enumerate(columns)}  # names of our own, as the rows may have any
     if model is None:
-        model = fit(candidates(docs, ()))
-    whole = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(text).isNull().alias("__null"))
-    found = candidates(whole, (*kept, "text", "__null"))
+        model = fit(candidates(docs.select(F.col(text).alias("text")), ()))
+    whole = docs.select(*(F.col(c).alias(k) for c, k in own.items() if c != text), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(text).isNull().alias("__null"))
+    found = candidates(whole, tuple(whole.columns))
     spans = f"array_sort(transform(filter(cands, x -> {model.keep('x')}), x -> struct(x.s as s, x.e as e, x.kind as kind)))"
     name = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]'), x.kind + 1)"
     step = f"(a, x) -> if(x.s < a.at, struct(greatest(a.at, x.e) as at, a.out as out), struct(x.e as at, concat(a.out, substr(text, a.at + 1, x.s - a.at), {name}) as out))"
     new = f"aggregate(spans, struct(0 as at, '' as out), {step}, a -> concat(a.out, substr(text, a.at + 1)))"
     out = found.withColumn("spans", F.expr(spans)).withColumn("text", F.expr(f"if(size(spans) = 0, if(__null, null, text), {new})"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col("text").alias(text) if c == text else F.col(c) for c in columns))
+        n = own["n_chars"]
+        out = out.withColumn(n, F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col(n)))
+    return out.select(*(F.col("text" if c == text else k).alias(c) for c, k in own.items()))
 
 
 __all__ = ["Model", "candidates", "digest", "find", "fit", "redact"]

@@ -33,7 +33,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     b = np.frombuffer(b"".join(raw), np.uint8)
     size = np.array([len(r) for r in raw])
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    ends = np.cumsum(size)
+    start = np.concatenate([[0], ends[:-1]])
     row = np.arange(len(b), dtype=np.int32)
     row -= np.repeat(start, size).astype(np.int32)
     row >>= 10
@@ -43,7 +44,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = x[:, :256].sum(1)
     if len(b) > 1:
         pair = (b[:-1].astype(np.int32) * 31 + b[1:]) & (PAIRS - 1)
-        x[:, 256 : 256 + PAIRS] = np.bincount(row[:-1] * np.int32(PAIRS) + pair, minlength=rows * PAIRS)[: rows * PAIRS].reshape(rows, PAIRS)
+        within = np.ones(len(pair), bool)  # no pair reaches into the next text
+        within[(ends[:-1] - 1)[(ends[:-1] > 0) & (ends[:-1] < len(b))]] = False
+        x[:, 256 : 256 + PAIRS] = np.bincount((row[:-1] * np.int32(PAIRS) + pair)[within], minlength=rows * PAIRS).reshape(rows, PAIRS)
     if len(b) >= 8:
         runs = np.lib.stride_tricks.sliding_window_view(b, 8)
         word = np.ascontiguousarray(b).view(np.uint8)
@@ -52,8 +55,12 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h << np.uint64(8)) | word[k : k + len(runs)]
         with np.errstate(over="ignore"):
             h = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int32)
+        within = np.ones(len(runs), bool)
+        for k in range(1, 8):
+            at = ends - k
+            within[at[(at >= 0) & (at < len(runs)) & (ends < len(b))]] = False
         used = np.zeros(rows * RUNS, bool)
-        used[row[: len(runs)] * np.int32(RUNS) + h] = True
+        used[(row[: len(runs)] * np.int32(RUNS) + h)[within]] = True
         x[:, 256 + PAIRS] = used.reshape(rows, RUNS).sum(1)
     x[:, 256 + PAIRS + 1] = length
     np.sqrt(x[:, : 256 + PAIRS] / np.maximum(length, 1)[:, None], out=x[:, : 256 + PAIRS])
@@ -157,13 +164,13 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
     return fit(np.concatenate(xs), np.array([len(x) for x in xs]), label, np.array([share[int(q)] for q in label], np.float32))
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep and score, the chance of label 1, for each row of documents(text, ...), from the whole of its text alone.
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns to keep and score (under the given name), the chance of label 1, for each row of documents(text, ...), from the whole of its text alone.
 
     Null and empty texts have one empty passage. Repeated rows and null doc_ids give rows of their own;
     an empty table gives none. Without a model all scores are 0.5.
     """
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +184,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
                 out.append(model.score(texts[lo:hi]) if model else np.full(hi - lo, 0.5))
                 lo = hi
             made = np.concatenate(out).astype(float) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(made, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(made, pa.float64())], names=[*keep, name])
 
     return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
 

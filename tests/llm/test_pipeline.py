@@ -29,7 +29,8 @@ def test_stages(spark, sf, stages):
     assert all(s.columns == docs.columns for s in stages[:-1])
     all_docs, kept = rows(docs), rows(good)
     model = quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), ~quality.held_out())
-    assert {d for d, r in all_docs.items() if model.score([r.text])[0] >= 0.5} == set(kept)
+    scores = {d: model.score([r.text])[0] for d, r in all_docs.items()}
+    assert {d for d in scores if scores[d] >= 0.5} ^ set(kept) <= {d for d in scores if abs(scores[d] - 0.5) < 1e-4}, {d: scores[d] for d in {d for d in scores if scores[d] >= 0.5} ^ set(kept)}
 
     prints = {d: brute_print(r.text) for d, r in kept.items()}
     ids = sorted(prints)
@@ -67,7 +68,7 @@ def test_stages(spark, sf, stages):
 
 
 def test_odd_rows(spark, sf):
-    docs = spark.createDataFrame([(1, "twice the same text", "en", "a", 5), (1, "twice the same text", "en", "a", 5), (2, None, None, None, None), (None, "", "en", "a", 0), (None, "no id", "en", "a", 1), (3, "", "fr", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 score", "2 component")
+    docs = spark.createDataFrame([(1, "twice the same text", "en", "a", 5), (1, "twice the same text", "en", "a", 5), (2, None, None, None, None), (None, "", "en", "a", 0), (None, "no id", "en", "a", 1), (3, "", "fr", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 score", "2 component", "3 cands", "4 spans", "5 rid")
     for df in (docs, docs.limit(0)):
         for name, f in corpus_pipeline.STAGES:
             out = f(spark, df, sf)
