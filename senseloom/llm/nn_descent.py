@@ -103,6 +103,12 @@ def best(edges: DataFrame, lists: DataFrame) -> DataFrame:
     return one.withColumn("rank", rank).join(lists, F.col("a") == F.col("node")).where("rank <= k").select("a", "b", "sim")
 
 
+def linked(edges: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) in both directions, once: edges at the threshold, however many a node has."""
+    over = edges.where(F.col("sim") >= threshold - 1e-4).select("a", "b", "sim")
+    return over.unionByName(over.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
 def descend(graph: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """(a, b, sim) of neighbours of neighbours: the vectors of each node's list meet at the node."""
 
@@ -230,22 +236,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
         meet = agree ** math.log2(largest)
         orders = max(4, math.ceil(math.log(1e-4) / math.log(1 - meet))) if meet < 1 else 4
         lists = nodes.select("node", F.lit(LIST).alias("k"))
-        graph = tables.write(best(forest(nodes, orders, 1, parts), lists))
-        known = tables.write(graph.where(F.col("sim") >= threshold - 1e-4).select("a", "b", "sim"))
+        met = tables.write(forest(nodes, orders, 1, parts))
+        graph = tables.write(best(met, lists))
+        known = tables.write(linked(met, threshold))  # before the lists are cut
         for k in range(most_rounds):
             met = tables.write(descend(graph, nodes, parts))
             counted = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
             lists = tables.write(lists.join(counted, lists.node == counted.a, "left").select("node", F.when((F.col("n") >= F.col("k")) & (F.col("low") >= threshold), 2 * F.col("k")).otherwise(F.col("k")).alias("k")))
             graph = tables.write(best(graph.unionByName(met), lists))
-            over = met.where(F.col("sim") >= threshold - 1e-4)
-            known = tables.write(known.unionByName(over).unionByName(over.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim")))
+            known = tables.write(linked(known.unionByName(met), threshold))
             n, found = audit(nodes, known, threshold)
             if report is not None:
                 report.setdefault("audits", []).append((n, found))
             if k and found >= recall * n:
                 break
             if k:
-                graph = tables.write(best(graph.unionByName(forest(nodes, orders, 2 + k, parts)), lists))
+                met = tables.write(forest(nodes, orders, 2 + k, parts))
+                graph = tables.write(best(graph.unionByName(met), lists))
+                known = tables.write(linked(known.unionByName(met), threshold))
         edges = known.where(F.col("sim") >= threshold).select("a", "b")
     if edges is None:
         edges = spark.createDataFrame([], "a long, b long")

@@ -335,6 +335,16 @@ def test_embeddings(spark, sf):
     assert nn_descent.near_duplicates(data.limit(0)).collect() == []
 
 
+def test_links_between_dense_groups(spark):
+    """Two groups of more members than a list holds, joined by weaker links over the threshold."""
+    rng = np.random.default_rng(5)
+    x, y = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    ends = (x, 0.985 * x + math.sqrt(1 - 0.985**2) * y)
+    rows = [(40 * g + k, (ends[g] + rng.normal(size=64) * 3e-3).tolist(), 1) for g in (0, 1) for k in range(40)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    same(nn_descent.near_duplicates(data, most_rounds=1).collect(), list(brute_links(rows)))
+
+
 def test_lattice_sums_all_segmentations():
     pieces = ["▁", "▁a", "▁ab", "a", "b", "ab", "bc", "c", "<b>"]
     p = np.array([0.1, 0.1, 0.05, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05])
