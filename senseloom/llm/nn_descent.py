@@ -5,10 +5,10 @@ random hyperplane codes (each node with the next ones in every order), as many o
 threshold needs to meet with near certainty. Rounds of descent join the neighbours of a node with each
 other and keep the best of each list; a list that holds nothing but neighbours over the threshold is
 saturated and is doubled. An audit compares a bounded set of nodes with all others;
-further orders and rounds follow while it misses a link. The edges over the
-threshold give components; as both ends of a link lie in one of these, exact numbers of links come
-from block-wise products within components, of which only counts leave the
-tasks.
+further orders and rounds follow, up to a number, while it misses a link. The edges over the
+threshold give components. What descent missed is then found without exception: block-wise products compare all
+nodes of a label, and only numbers of links and the links that join two components leave the
+tasks. That pass is quadratic in the size of a label.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ._shared import Tables, connected_components
 
-#: Length of the lists at first, neighbours taken from each order, vectors of a block.
-LIST, NEXT, BLOCK = 8, 4, 1024
-#: Queries of the audit: the nodes with the smallest hashes.
+#: Length of the lists at first, neighbours taken from each order, vectors of a block and of a product's left side.
+LIST, NEXT, BLOCK, STRIP = 8, 4, 4096, 256
+#: Queries of the audit, which only says when descent may stop: the nodes with the smallest hashes.
 AUDIT = 500
 
 
@@ -175,46 +175,81 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, most: int = AUDI
     return r.n, r.f
 
 
-def count_links(nodes: DataFrame, parts_of: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(a, b_copies) per node: exact numbers of linked vectors, from products of blocks within each component."""
-    placed = nodes.join(parts_of, "node")
-    sizes = parts_of.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def compare_all(nodes: DataFrame, parts_of: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Every node with all others of its class, in products of blocks. Three kinds of rows:
+
+    (node, n): exact numbers of linked vectors; (a, b): components of parts_of(node, component) that a link joins, as
+    many as it takes to join them; (pairs, missed): links of nodes, and those of them that lie between components.
+    """
+    sizes = nodes.groupBy("class").agg(F.min("node").alias("first"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = nodes.join(parts_of, "node", "left").join(sizes, "class").withColumn("component", F.coalesce("component", "node"))
+    member = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a pair of blocks (i, j) has a task of its own; block i is sent to all pairs that it is part of
-    sent = member.select("component", "node", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "v"
+    sent = member.select("first", "node", "component", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "copies", "v"
     )
+    kinds = ("node", "n", "a", "b", "pairs", "missed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(t: pa.Table) -> pa.RecordBatch:
+        def rows(**columns: object) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_pydict({k: pa.array(columns[k], pa.int64()) if k in columns else pa.nulls(size, pa.int64()) for k in kinds})
+
+        def joined(found: np.ndarray, now: np.ndarray) -> tuple[list, np.ndarray]:
+            """The pairs of found that join components, and the components after that."""
+            root: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            kept = []
+            for x, y in found.tolist():
+                x, y = sorted((top(x), top(y)))
+                if x != y:
+                    root[y] = x
+                    kept.append((x, y))
+            names, at = np.unique(now, return_inverse=True)
+            return kept, np.array([top(c) for c in names.tolist()], np.int64)[at]
+
+        def block_pair(t: pa.Table) -> Iterator[pa.RecordBatch]:
             x, own, copies = _units(t.column("v")), t.column("node").to_numpy(), t.column("copies").to_numpy()
-            block = t.column("block").to_numpy()
+            block, was = t.column("block").to_numpy(), t.column("component").to_numpy()
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            n = np.zeros(len(x), np.int64)
-            for lo in range(0, len(left), BLOCK):
-                rows = left[lo : lo + BLOCK]
-                near = x[rows] @ x[right].T >= threshold
+            n, now, pairs, missed, joins = np.zeros(len(x), np.int64), was, 0, 0, []
+            for lo in range(0, len(left), STRIP):
+                strip = left[lo : lo + STRIP]
+                r, c = np.nonzero(x[strip] @ x[right].T >= threshold)
+                r, c = strip[r], right[c]
                 if i == j:
-                    near[np.arange(len(rows)), np.arange(lo, lo + len(rows))] = False
-                n[rows] += near @ copies[right]
-                if i != j:
-                    n[right] += copies[rows] @ near
-            return pa.RecordBatch.from_pydict({"node": own, "n": pa.array(n)})
+                    r, c = r[r < c], c[r < c]
+                np.add.at(n, r, copies[c])
+                np.add.at(n, c, copies[r])
+                pairs += len(r)
+                missed += int((was[r] != was[c]).sum())
+                if (apart := now[r] != now[c]).any():
+                    more, now = joined(np.unique(np.stack([now[r[apart]], now[c[apart]]], 1), axis=0), now)
+                    joins += more
+            yield rows(node=own, n=n)
+            yield rows(pairs=[pairs], missed=[missed])
+            if joins:
+                yield rows(a=[x for x, _ in joins], b=[y for _, y in joins])
 
         held = None
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            key = np.stack([t.column(c).to_numpy() for c in ("component", "i", "j")], 1)
+            key = np.stack([t.column(c).to_numpy() for c in ("first", "i", "j")], 1)
             cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1).tolist()]
             for lo, hi in zip(cuts, cuts[1:]):
-                yield count(t.slice(lo, hi - lo))
+                yield from block_pair(t.slice(lo, hi - lo))
             held = t.slice(cuts[-1])
         if held is not None and len(held):
-            yield count(held)
+            yield from block_pair(held)
 
-    keyed = sent.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return keyed.mapInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    keyed = sent.repartition(parts, "first", "i", "j").sortWithinPartitions("first", "i", "j")
+    return keyed.mapInArrow(compare, ", ".join(f"{k} long" for k in kinds))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999, most_rounds: int = 6, report: dict | None = None) -> DataFrame:
@@ -223,7 +258,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     Vectors of equal labels and dimensions link at a cosine of threshold or more, in double precision. Vectors that are
     null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
     nothing: 0 links, their own component. Equal vectors are links of each other; repeated rows count as rows. Other columns aren't
-    looked at; an empty table gives no rows. report: gets the audits' (links, found).
+    looked at; an empty table gives no rows. report: gets the audits' (links, found), and under links the same
+    of all nodes, found being those that lie within the components of the descent.
     """
     spark = vectors.sparkSession
     tables = Tables(spark)
@@ -258,7 +294,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     if edges is None:
         edges = spark.createDataFrame([], "a long, b long")
     components = connected_components(edges, tables)
-    links = count_links(nodes, components, threshold, parts)
+    compared = tables.write(compare_all(nodes, components, threshold, parts))
+    links = compared.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
+    if report is not None:
+        met = compared.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n"), F.coalesce(F.sum("missed"), F.lit(0)).alias("missed")).first()
+        report["links"] = (met.n, met.n - met.missed)
+    joins = compared.where("a is not null").select("a", "b")
+    if not joins.isEmpty():
+        merged = connected_components(joins, tables).withColumnRenamed("component", "into").withColumnRenamed("node", "part")
+        all_nodes = nodes.select("node").join(components, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        components = tables.write(all_nodes.join(merged, "part", "left").select("node", F.coalesce("into", "part").alias("component")))
     by_node = nodes.select("node", "copies", "class", "v").join(components, "node", "left").join(links, "node", "left")
     found = by_node.selectExpr("class.label label", "v", "coalesce(component, node) c", "coalesce(n, 0) + copies - 1 n")
     keyed = vectors.selectExpr("vec_id", "label", "if(vec_id is null or embedding is null, null, transform(embedding, x -> cast(x as double) + 0D)) v")

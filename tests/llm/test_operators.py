@@ -345,6 +345,21 @@ def test_links_between_dense_groups(spark):
     same(nn_descent.near_duplicates(data, most_rounds=1).collect(), list(brute_links(rows)))
 
 
+def test_links_that_descent_misses(spark, monkeypatch):
+    """A graph without edges, and blocks smaller than the labels."""
+    monkeypatch.setattr(nn_descent, "forest", lambda *_: spark.createDataFrame([], "a long, b long, sim double"))
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    monkeypatch.setattr(nn_descent, "STRIP", 5, raising=False)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3, 64))
+    rows = [(k, (base[k % 3] + rng.normal(size=64) * 0.14).tolist(), k // 60) for k in range(120)]
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(5)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    report = {}
+    same(nn_descent.near_duplicates(data, most_rounds=1, report=report).collect(), list(brute_links(rows)))
+    assert report["links"][0] > 0 == report["links"][1]
+
+
 def test_lattice_sums_all_segmentations():
     pieces = ["▁", "▁a", "▁ab", "a", "b", "ab", "bc", "c", "<b>"]
     p = np.array([0.1, 0.1, 0.05, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05])
