@@ -60,7 +60,7 @@ def forest(nodes: DataFrame, orders: int, seed: int, parts: int) -> DataFrame:
                     if (d, o) not in planes:
                         planes[d, o] = np.random.default_rng([seed, o, int(d)]).normal(size=(int(d), 63))
                     code = ((x @ planes[d, o]) > 0) @ weights
-                    yield pa.RecordBatch.from_pydict({"ord": pa.array([o] * len(x), pa.int32()), "code": pa.array(code, pa.int64()), "node": some.column("node"), "class": some.column("class"), "u": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"ord": pa.array([o] * len(x), pa.int32()), "code": pa.array(code, pa.int64()), "node": some.column("node"), "class": some.column("class"), "u": pa.array([r.tobytes() for r in x], pa.binary())})
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -78,11 +78,11 @@ def forest(nodes: DataFrame, orders: int, seed: int, parts: int) -> DataFrame:
                 if len(same):
                     for d in np.unique(key[same, 2]):
                         at = same[key[same, 2] == d]
-                        x = np.frombuffer(b"".join(u[i] for i in at), np.float32).reshape(len(at), -1)
-                        y = np.frombuffer(b"".join(u[i + k] for i in at), np.float32).reshape(len(at), -1)
+                        x = np.frombuffer(b"".join(u[i] for i in at), np.float64).reshape(len(at), -1)
+                        y = np.frombuffer(b"".join(u[i + k] for i in at), np.float64).reshape(len(at), -1)
                         out[0].append(ids[at])
                         out[1].append(ids[at + k])
-                        out[2].append((x * y).sum(1).astype(np.float64))
+                        out[2].append((x * y).sum(1))
             if out[0]:
                 yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip("ab", out)} | {"sim": pa.array(np.concatenate(out[2]))})
             held = t.slice(max(0, n - NEXT))

@@ -360,6 +360,17 @@ def test_links_that_descent_misses(spark, monkeypatch):
     assert report["links"][0] > 0 == report["links"][1]
 
 
+def test_pairs_just_below_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for label in range(40):
+        x, y = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        cosine = 0.98 + (-3e-9 if label % 4 else 3e-9)
+        rows += [(2 * label, x.tolist(), label), (2 * label + 1, (cosine * x + math.sqrt(1 - cosine**2) * y).tolist(), label)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    same(nn_descent.near_duplicates(data, most_rounds=0).collect(), list(brute_links(rows)))
+
+
 def test_lattice_sums_all_segmentations():
     pieces = ["▁", "▁a", "▁ab", "a", "b", "ab", "bc", "c", "<b>"]
     p = np.array([0.1, 0.1, 0.05, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05])
