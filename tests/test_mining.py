@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from senseloom.operators import categories, examples, infer, links, sections, senses, tokens, train
@@ -94,6 +95,14 @@ def test_greedy_split(spark):
         assert n.count(1) >= round(len(n) * 0.15) and n.count(2) >= round(len(n) * 0.15)
 
 
+def test_components_of_a_long_chain(spark):
+    rows = [(a, 0, 0, None, a + k) for a in range(60) for k in (0, 1)]
+    e = spark.createDataFrame(rows, "article_id long, section_index long, paragraph_index long, sentence_index long, label long")
+    assert {(r.label, r.component) for r in examples.label_components(e, 8).collect()} == {(k, 0) for k in range(61)}
+    with pytest.raises(RuntimeError):
+        examples.label_components(e, 2)
+
+
 def test_training_separates(spark):
     rows = [([f"w{k % 3}", f"x{k % 7}"], [0, 1, 2], k % 3) for k in range(300)]
     e = spark.createDataFrame(rows, "tokens array<string>, possible_senses array<long>, sense long").repartition(2)
