@@ -57,6 +57,26 @@ def section_anchor(i: Inputs) -> DataFrame:
     return i.documents.select("doc_id", text.section_anchor(F.expr(_TITLE)).alias("anchor"))
 
 
+_NAMES = "select 'part' source, p_partkey id, p_name t from part union all select 'supplier', s_suppkey, s_name from supplier union all select 'pages', page_id, url from pages"
+
+
+def _names(i: Inputs) -> DataFrame:
+    """Whole values of the columns that hold titles."""
+    named = ((i.part, "part", "p_partkey", "p_name"), (i.supplier, "supplier", "s_suppkey", "s_name"), (i.pages, "pages", "page_id", "url"))
+    a, b, c = (df.select(F.lit(source).alias("source"), F.col(key).alias("id"), F.col(t).alias("t")) for df, source, key, t in named)
+    return a.unionByName(b).unionByName(c)
+
+
+@query(f"select source, id, case when t[1] = 'ß' then t else upper(t[1]) || t[2:] end title from (select source, id, {_STRIP('t')} t from ({_NAMES}))")
+def normalize_whole_titles(i: Inputs) -> DataFrame:
+    return _names(i).select("source", "id", text.page_title(F.col("t")).alias("title"))
+
+
+@query(f"select source, id, {T2('t')} anchor from ({_NAMES})")
+def whole_section_anchor(i: Inputs) -> DataFrame:
+    return _names(i).select("source", "id", text.section_anchor(F.col("t")).alias("anchor"))
+
+
 @query(with_views(f"select id, title, group_title, {T3('title')} again from articles", "articles"))
 def group_titles(i: Inputs) -> DataFrame:
     return i.articles.select("id", "title", "group_title", text.group_title(F.col("title")).alias("again"))

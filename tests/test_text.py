@@ -51,3 +51,17 @@ def test_quality(spark):
     assert one(spark, "these words are quite fine", text.is_poor) is False
     assert one(spark, "1234 5678 9012 3456 words", text.is_poor) is True
     assert one(spark, "a {{b}} c", text.has_residue) is True
+
+
+def test_whole_titles_equal_their_sql(spark, sf):
+    import duckdb
+
+    from senseloom.plans import registry
+
+    db = duckdb.connect()
+    for t in ("part", "supplier", "pages"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in ("normalize_whole_titles", "whole_section_anchor"):
+        got = sorted(tuple(r) for r in registry.queries()[name](spark, sf).collect())
+        assert got == sorted(db.execute(registry.oracle_sql()[name]).fetchall())
+        assert max(len(r[2]) for r in got) > 40
