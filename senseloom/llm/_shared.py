@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +26,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scopes: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where the session has no such setting (tests on one machine) a local
-    temporary folder is made.
+    Only on one machine (a local master, as in tests) may the setting be missing; a local
+    temporary folder is made then, elsewhere it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _scopes[-1] if _scopes else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             base = set_before.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="senseloom-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All folders made within are deleted at its end; what is to stay must have been written elsewhere by then."""
+    _scopes.append(shared_folder(spark))
+    try:
+        yield
+    finally:
+        delete(spark, _scopes.pop())
+
+
+def fresh(taken: list[str], base: str) -> str:
+    """A column name that none of the given ones equals, whatever its case."""
+    have = {c.lower() for c in taken}
+    while base.lower() in have:
+        base += "_"
+    return base
+
+
 class Tables:
     """Intermediate results as Parquet in the shared folder: cuts lineage and outlives executors."""
 
@@ -56,9 +86,7 @@ class Tables:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._senseloom_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, df._senseloom_path)
 
 
 def connected_components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataFrame:

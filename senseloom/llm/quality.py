@@ -16,18 +16,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 PASSAGE = 1024
 PAIRS = 512
 RUNS = 1024
 WIDTH = 256 + PAIRS + 4
 HIDDEN, GATE = 32, 16
-#: Bounds of the sample that the classifier is fitted on: documents of each label, and evenly spaced passages of each of these.
-SAMPLE, SAMPLE_PASSAGES = 3000, 48
+#: Bounds of the sample of labelled rows that the classifier is fitted on: documents of each label, bytes of one document, and bytes of
+#: a label's documents together, in the order of their hashes. Of a document in the sample all passages count. Scores have no such bounds.
+SAMPLE, SAMPLE_ROW_BYTES, SAMPLE_BYTES = 3000, 1 << 20, 32 << 20
+#: Passages that a text, or a group of short texts, is encoded by at a time.
+SEGMENT = 400
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, number of passages of each text); an empty text is one empty passage."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return _encode([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+
+
+def _encode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([max(1, -(-len(r) // PASSAGE)) for r in raw])
     rows = int(n.sum())
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -93,7 +101,35 @@ class Model:
         return {"bag": bag, "h": h, "t": t, "s": s, "p": p, "z": z, "y": y, "first": first}
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return self.forward(*passages(texts))["y"]
+        """Scores of texts of any length, in memory that doesn't grow with it."""
+        out, group, size = np.zeros(len(texts)), [], 0
+        for k, text in enumerate(texts):
+            n = len(text or "")
+            if n > SEGMENT * PASSAGE // 4:
+                out[k] = self._long(text)
+                continue
+            if size + n > SEGMENT * PASSAGE and group:
+                out[group] = self.forward(*passages([texts[i] for i in group]))["y"]
+                group, size = [], 0
+            group.append(k)
+            size += n
+        if group:
+            out[group] = self.forward(*passages([texts[i] for i in group]))["y"]
+        return out
+
+    def _long(self, text: str) -> float:
+        """One text's score by segments: attention's sums are carried with their largest exponent."""
+        raw = text.encode("utf-8", "surrogatepass")
+        top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for lo in range(0, len(raw), SEGMENT * PASSAGE):
+            own = raw[lo : lo + SEGMENT * PASSAGE]
+            x = _encode([raw[lo : lo + len(own) + 7]])[0][: -(-len(own) // PASSAGE)]  # pairs and runs reach up to seven bytes ahead
+            h = np.tanh(x @ self.w)
+            e = (np.tanh(h @ self.v) / (1 + np.exp(-(h @ self.u)))) @ self.a
+            new = max(top, float(e.max()))
+            p, old = np.exp(e - new), np.exp(top - new)
+            total, z, top = total * old + p.sum(), z * old + p @ h, new
+        return float(1 / (1 + np.exp(-np.clip(z / total @ self.c[:-1] + self.c[-1], -30, 30))))
 
 
 def fit(x: np.ndarray, n: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 40, seed: int = 7, rate: float = 0.01, decay: float = 1e-4) -> Model:
@@ -130,10 +166,11 @@ def fit(x: np.ndarray, n: np.ndarray, label: np.ndarray, weight: np.ndarray, epo
     return m
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int = SAMPLE, most_passages: int = SAMPLE_PASSAGES) -> Model | None:
-    """Fit on a sample of the labelled rows where training holds: per label those with the smallest hashes of doc_id.
+def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int = SAMPLE, row_bytes: int = SAMPLE_ROW_BYTES, label_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fit on a bounded sample of the labelled rows where training holds: per label those with the smallest hashes of doc_id.
 
-    The sample is weighted back to the labels' shares. Labels other than 0 and 1 and doc_ids that are null are left out;
+    At most per_label rows of a label, of which those of more than row_bytes and what goes beyond label_bytes in all are left out; the
+    others count with all their passages. The sample is weighted back to the labels' shares. Labels other than 0 and 1 and doc_ids that are null are left out;
     repeated labels count once, the smallest. None if there are no labelled rows.
     """
     from pyspark.sql import Window
@@ -149,15 +186,17 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, text, quality in zip(*(b.column(k).to_pylist() for k in range(3))):
-                x, n = passages([text])
-                if n[0] > most_passages:
-                    x = x[np.linspace(0, n[0] - 1, most_passages).astype(int)]
+                x, _ = passages([text])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "quality": pa.array([quality], pa.int32()), "x": pa.array([x.astype(np.float16).tobytes()], pa.binary())})
 
     # one text of each doc_id: the smallest
     one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("k = 1")
+    bytes_before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    one = one.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= row_bytes).withColumn("bytes", bytes_before).where(F.col("bytes") <= label_bytes)
     rows = one.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(encode, "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: r.doc_id)
+    if not rows:
+        return None
     xs = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
     label = np.array([r.quality for r in rows], np.float32)
     share = {q: totals[q] / max(1, int((label == q).sum())) for q in totals}
@@ -167,26 +206,23 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns to keep and score (under the given name), the chance of label 1, for each row of documents(text, ...), from the whole of its text alone.
 
-    Null and empty texts have one empty passage. Repeated rows and null doc_ids give rows of their own;
+    Null and empty texts have one empty passage; long ones are encoded by segments, so memory doesn't grow with a text. Repeated rows and null doc_ids give rows of their own;
     an empty table gives none. Without a model all scores are 0.5.
     """
     schema = docs.select(*keep).schema.add(name, "double")
+    own = "text" in keep
+    at = keep.index("text") if own else 0
+    sent = docs.select(*keep) if own else docs.select(F.col("text").alias(fresh(list(keep), "text")), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, out = b.column(0).to_pylist(), []
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 2_000_000):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                out.append(model.score(texts[lo:hi]) if model else np.full(hi - lo, 0.5))
-                lo = hi
-            made = np.concatenate(out).astype(float) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(made, pa.float64())], names=[*keep, name])
-
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
+            for lo in range(0, b.num_rows, 256):
+                some = b.slice(lo, 256)
+                texts = some.column(at).to_pylist()
+                made = model.score(texts) if model else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([*some.columns[0 if own else 1 :], pa.array(made.astype(float), pa.float64())], names=[*keep, name])
+
+    return sent.mapInArrow(run, schema)
 
 
 def held_out(remainder: int = 1, folds: int = 3) -> Column:
