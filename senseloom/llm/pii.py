@@ -49,12 +49,38 @@ TLDS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|co|us|ch|at|it|nl"
 VOTES = ("form", "gazetteer", "context", "edges")
 
 
+def _let(name: str, value: str, then: str) -> str:
+    """SQL for an expression over a named value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
+#: Values that a running sum copies at a time: the whole takes m * RUN + (m / RUN)^2 steps for m values.
+RUN = 256
+
+
+def _running(values: str, zero: str, op: str) -> str:
+    """SQL for the running folds of an array, each with its own value; op has a and x."""
+    fold = lambda a, x: op.format(a=a, x=x)
+    runs = f"transform(sequence(0, cast((size(v) - 1) div {RUN} as int)), k -> slice(v, k * {RUN} + 1, {RUN}))"
+    inner = f"transform({runs}, c -> slice(aggregate(c, array({zero}), (a, x) -> concat(a, array({fold('element_at(a, -1)', 'x')}))), 2, {RUN}))"
+    before = f"aggregate(q, array({zero}), (a, p) -> concat(a, array({fold('element_at(a, -1)', 'element_at(p, -1)')})))"
+    whole = f"flatten(zip_with(q, slice({before}, 1, size(q)), (p, o) -> transform(p, y -> {fold('o', 'y')})))"
+    return _let("v", values, f"if(size(v) = 0, array(), {_let('q', inner, whole)})")
+
+
 def _matches(text: str, pattern: str) -> str:
-    """SQL for array<struct<s, e, m>>: each match in code points. Every search goes on where the last one ended (\\G), so the gaps add up to places."""
+    """SQL for array<struct<s, e, m, b, f, t>>: each match in code points, with up to 24 characters of the gap in front of it, and the characters next to it.
+
+    Every search goes on where the last one ended (\\G), so the gaps add up to places, and no place is looked up in the text, whatever its length.
+    """
     p = ("\\G([\\s\\S]*?)(" + pattern + ")").replace("\\", "\\\\").replace("'", "\\'")
     both, own = f"regexp_extract_all({text}, '{p}', 0)", f"regexp_extract_all({text}, '{p}', 2)"
-    run = f"aggregate({both}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + length(x))))"
-    return f"zip_with({own}, slice({run}, 2, 1000000000), (m, e) -> struct(e - length(m) as s, e as e, m as m))"
+    gap = "left(x, length(x) - length(z.o[i]))"
+    after = f"if(i + 1 < size(w), left(get(w, i + 1), 1), substr({text}, z.e[i] + 1, 1))"
+    front = "if(i > 0 and length(x) = length(z.o[i]), 'x', right(g, 1))"  # where two matches touch, the first one's end is a letter or a digit
+    each = "struct(z.e[i] - length(z.o[i]) as s, z.e[i] as e, z.o[i] as m, right(g, 24) as b, " + front + f" as f, {after} as t)"
+    rows = f"transform(w, (x, i) -> {_let('g', gap, each)})"
+    return _let("w", both, _let("z", f"struct({own} as o, {_running('transform(w, x -> length(x))', '0', '{a} + {x}')} as e)", rows))
 
 
 def _digits(m: str) -> str:
@@ -92,10 +118,10 @@ def _candidates(kind: str) -> str:
         other = _matches("text", WIDE[kind])
     p = WIDE[kind].replace("\\", "\\\\")
     wide = f"if(text rlike '{p}', {other}, array())"
-    before = "lower(substr(text, greatest(1, x.s - 23), least(24, x.s)))"
+    before = "lower(x.b)"
     about, against = (c.replace("\\", "\\\\") for c in (CONTEXT[kind], AGAINST))
     context = f"if({before} rlike '{about}', 1, if({before} rlike '{against}', -1, 0))"
-    edges = "if(substr(text, x.s, if(x.s = 0, 0, 1)) rlike '[A-Za-z0-9]' or substr(text, x.e + 1, 1) rlike '[A-Za-z0-9]', -1, 1)"
+    edges = "if(x.f rlike '[A-Za-z0-9]' or x.t rlike '[A-Za-z0-9]', -1, 1)"
     k = KINDS.index(kind)
 
     def voted(found: str, is_base: bool) -> str:
@@ -105,12 +131,19 @@ def _candidates(kind: str) -> str:
     return f"concat({voted(base, True)}, {voted(wide, False)})"
 
 
+def _free() -> str:
+    """SQL for cands without the further ones that overlap a base span, by the furthest end of those that start before and the first start after."""
+    last = _running("transform(c, x -> if(x.x.base, x.e, 0))", "0", "greatest({a}, {x})")
+    first = f"reverse({_running('reverse(transform(c, x -> if(x.x.base, x.s, 2147483647)))', '2147483647', 'least({a}, {x})')})"
+    keep = "array_sort(filter(transform(c, (x, i) -> if(x.x.base or not (z.l[i] > x.s or z.n[i] < x.e), x.x, null)), x -> x is not null))"
+    return f"if(exists(cands, x -> not x.base), {_let('c', 'array_sort(transform(cands, x -> struct(x.s as s, x.e as e, x as x)))', _let('z', f'struct({last} as l, {first} as n)', keep))}, cands)"
+
+
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep and cands: all candidates in order of kind and place; further ones that overlap a base span are left out."""
     t = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    free = "filter(cands, x -> x.base or not exists(cands, y -> y.base and y.s < x.e and x.s < y.e))"
     found = t.select(*keep, F.expr(f"array_sort(concat({', '.join(map(_candidates, KINDS))}))").alias("cands"))
-    return found.withColumn("cands", F.expr(free))
+    return found.withColumn("cands", F.expr(_free()))
 
 
 @dataclass(frozen=True)
@@ -186,18 +219,39 @@ def digest(found: DataFrame) -> DataFrame:
     return found.selectExpr("doc_id", *counts, f"sha2({join.format(base)}, 256) base_sha256", f"{join.format('spans')} spans")
 
 
+#: Characters of the pieces that a text is cut into where places of it are looked up.
+PIECE = 4096
+
+
+def _between(lo: str, hi: str) -> str:
+    """SQL for the characters from lo to hi of the text that pieces holds."""
+    at, to = f"cast(({lo}) div {PIECE} as int)", f"cast(({hi}) div {PIECE} as int)"
+    head, tail = f"substr(get(pieces, {at}), ({lo}) % {PIECE} + 1)", f"left(coalesce(get(pieces, {to}), ''), ({hi}) % {PIECE})"
+    within = f"substr(get(pieces, {at}), ({lo}) % {PIECE} + 1, ({hi}) - ({lo}))"
+    return f"if({hi} <= {lo}, '', if({at} = {to}, {within}, concat({head}, array_join(slice(pieces, {at} + 2, {to} - {at} - 1), ''), {tail})))"
+
+
 def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """The rows with each span, or run of overlapping spans, replaced by [KIND] of its first; n_chars, if there, follows the text."""
+    """The rows with each span, or run of overlapping spans, replaced by [KIND] of its first; n_chars, if there, follows the text.
+
+    Null and empty texts stay as they are, repeated rows and rows without an id are rows like any other, columns may have any names,
+    an empty table gives none. Candidates are found once and written down with their rows; the model, if none is given, is fitted on them. The work on a text
+    is linear in its length and its spans.
+    """
     columns = docs.columns
     own = {c: f"__{k}" for k, c in enumerate(columns)}  # names of our own, as the rows may have any
-    if model is None:
-        model = fit(candidates(docs.select(F.col(text).alias("text")), ()))
-    whole = docs.select(*(F.col(c).alias(k) for c, k in own.items() if c != text), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(text).isNull().alias("__null"))
+    whole = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in own.items() if c != text), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{text}`").isNull().alias("__null"))
     found = candidates(whole, tuple(whole.columns))
+    if model is None:
+        found = Tables(docs.sparkSession).write(found)
+        model = fit(found)
     spans = f"array_sort(transform(filter(cands, x -> {model.keep('x')}), x -> struct(x.s as s, x.e as e, x.kind as kind)))"
     name = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]'), x.kind + 1)"
-    step = f"(a, x) -> if(x.s < a.at, struct(greatest(a.at, x.e) as at, a.out as out), struct(x.e as at, concat(a.out, substr(text, a.at + 1, x.s - a.at), {name}) as out))"
-    new = f"aggregate(spans, struct(0 as at, '' as out), {step}, a -> concat(a.out, substr(text, a.at + 1)))"
+    ended = _running("transform(spans, x -> x.e)", "0", "greatest({a}, {x})")
+    at = "if(i = 0, 0, get(ended, i - 1))"
+    changed = f"transform(spans, (x, i) -> if(x.s < {at}, '', concat({_between(at, 'x.s')}, {name})))"
+    rest = _between("element_at(ended, -1)", "length(text)")
+    new = _let("ended", ended, _let("pieces", f"regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0)", f"concat(array_join({changed}, ''), {rest})"))
     out = found.withColumn("spans", F.expr(spans)).withColumn("text", F.expr(f"if(size(spans) = 0, if(__null, null, text), {new})"))
     if "n_chars" in columns:
         n = own["n_chars"]

@@ -285,6 +285,26 @@ def test_personal_data(spark, docs, odd):
     assert none.collect() == [] and set(model.weights.values()) == {0.0}
 
 
+def test_personal_data_of_long_texts(spark):
+    """Work in proportion to the number of spans, which may overlap the pieces that a text is cut into."""
+    long = "é write to someone.else@example.com (555) 123-4567 and " * 30_000
+    rows = [(1, long), (2, "🙂" * 4090 + " a@b.com" * 3 + "x" * 9000 + " 10.0.0.1 joe [at] site [dot] com" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, model = pii.find(df)
+    spans = {r.doc_id: [(s.kind, s.s, s.e, s.base) for s in r.spans] for r in found.collect()}
+    out = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    for k, x in rows:
+        assert [s[:3] for s in spans[k] if s[3]] == brute_spans(x)
+        base = [s for s in spans[k] if s[3]]
+        assert not any(b[1] < e and s < b[2] for _, s, e, is_base in spans[k][-400:] if not is_base for b in base[-800:])
+        want, at = [], 0
+        for kind, s, e, _ in sorted(spans[k], key=lambda s: (s[1], s[2], s[0])):
+            if s >= at:
+                want += [x[at:s], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, e)
+        assert out[k] == "".join(want) + x[at:]
+
+
 def test_preferences(spark):
     a = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "good"), (2, 0, "user", None), (2, 1, None, "x"), (3, 0, "user", "same"), (4, 0, "user", "alone"), (None, 0, "user", "n")]
     b = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "é🙂d"), (1, 3, "user", "more"), (2, 0, "user", ""), (2, 1, "", "y"), (3, 0, "user", "same"), (5, 0, "user", "alone")]
@@ -345,6 +365,20 @@ def test_links_between_dense_groups(spark):
     same(nn_descent.near_duplicates(data, most_rounds=1).collect(), list(brute_links(rows)))
 
 
+def test_dense_groups_of_a_thousand(spark):
+    """Near-identical vectors beyond any list's length, and two such groups of which only the nearest members link."""
+    rng = np.random.default_rng(8)
+    x, y = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    rows = [(k, (x + rng.normal(size=64) * 1e-3).tolist(), 1) for k in range(1000)]
+    far = math.cos(1.18 * math.acos(0.98))
+    rows += [(1000 + 200 * g + k, ((x if g == 0 else far * x + math.sqrt(1 - far**2) * y) + rng.normal(size=64) * 2e-3).tolist(), 2) for g in (0, 1) for k in range(200)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    report = {}
+    same(nn_descent.near_duplicates(data, report=report).collect(), list(brute_links(rows)))
+    n, found = report["audits"][-1]
+    assert found == n >= nn_descent.AUDIT_LINKS and "links" not in report
+
+
 def test_links_that_descent_misses(spark, monkeypatch):
     """A graph without edges, and blocks smaller than the labels."""
     monkeypatch.setattr(nn_descent, "forest", lambda *_: spark.createDataFrame([], "a long, b long, sim double"))
