@@ -1,18 +1,17 @@
 """Language-model scores from a subword lattice.
 
 A text is a sequence of words (ASCII letters lower-cased, cut at ASCII white space) and one
-end. A word that the training texts hold c times of N has the probability
-(c - D) / N, by absolute discounting with D = n1 / (n1 + 2 n2) from the numbers of words held once and
-twice; what the discounts free, D V / N in all, goes to the lattice:
-the pieces of an existing unigram vocabulary, a word being spelled by a piece with the
-word mark and pieces without. All segmentations count: the probability of a word is their sum, by a
-forward recursion in log space. The pieces' weights start from the vocabulary's own scores and are
-re-estimated by expectation-maximisation: forward-backward over all distinct
-words of the training texts, each once, as the freed mass comes equally from each. As no piece reaches over a word mark,
+end. Each word is spelled by the pieces of an existing unigram vocabulary, the first with the word mark. All segmentations
+count: the probability of a word is their sum, weighted by the scores of the vocabulary, by a
+forward recursion in log space. As no piece reaches over a word mark,
 the marginal probability of a document is the product over its words, so the
 recursion runs once for each distinct word of the corpus and not for each of its places.
 
-The most frequent words, of bounded number and length, are looked up by the tasks that read the
+From the training texts come the share of ends among the tokens, and a correction of the scores, as the vocabularies at hand are of merges
+and their scores mere ranks: by expectation-maximisation, the expected uses of the pieces over all segmentations, which the
+vocabulary's scores weight, are added to a prior in proportion to these scores.
+
+The most frequent words, of bounded number and bytes, are looked up by the tasks that read the
 texts; the rest are joined with the word table by a shuffle.
 """
 
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Tables
+from ._shared import Tables, slices
 
 MARK = "▁"
-#: Words sent to every task: number, and bytes of each at most.
-HEAD, HEAD_BYTES = 100_000, 40
+#: Words sent to every task, the most frequent first: their number and their bytes in all, at most.
+HEAD, HEAD_BYTES = 100_000, 8 << 20
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 _LOW = -1e30
@@ -229,8 +228,7 @@ def vocabulary(path: str) -> Lattice:
     scores[list(byte.values())] = scores[scores > _LOW].min()
     keep = [k for k in range(n) if scores[k] > _LOW and MARK not in pieces[k][1:]]
     at = {k: i for i, k in enumerate(keep)}
-    logp = scores[keep] - np.logaddexp.reduce(scores[keep])
-    return Lattice([pieces[k] for k in keep], logp, {b: at[k] for b, k in byte.items()})
+    return Lattice([pieces[k] for k in keep], scores[keep] - np.logaddexp.reduce(scores[keep]), {b: at[k] for b, k in byte.items()})
 
 
 _loaded: dict[str, Lattice] = {}
@@ -266,7 +264,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 s.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), "c": pa.array(c, pa.int64())})
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[held_out(doc_id)].update(tokens(text))
                 if len(seen[0]) + len(seen[1]) > HELD:
@@ -277,68 +275,67 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, vocabulary_path: str, rounds: int = 3, smooth: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents(doc_id, text, ...).
 
     Trained on the rows whose crc32(doc_id as text) mod 10 isn't 0. base_score: sum of
-    log10 of the add-smooth word probability; score: the model's log10 probability of the text.
+    log10 of the add-smooth word probability; score: the log10 marginal probability of the text through the lattice.
+    rounds: of the correction of the vocabulary's scores; with none they weight the lattice as they are.
 
     A null or empty text is its end alone. A null doc_id counts as the empty string and is held out. Repeated
     rows are counted, and scored, as often as they come. Other columns aren't looked at. Without
-    training texts all words are unknown and the lattice has the vocabulary's own scores.
+    training texts all words are unknown, the scores are the vocabulary's and an end is as likely as a word.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     counted = tables.write(count_words(docs))
     ends = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d")).where("crc32(encode(d, 'utf-8')) % 10 <> 0").count()
-    sums = counted.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    sums = counted.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (sums.n or 0) + ends, sums.v + (1 if ends else 0)
 
-    logp = None
-    base_lattice = _lattice(vocabulary_path, None)
-    start = base_lattice.logp.copy()
+    own = _lattice(vocabulary_path, None).logp.copy()
+    logp = own
     for _ in range(rounds if sums.v else 0):
 
-        def expect(batches: Iterator[pa.RecordBatch], logp: np.ndarray | None = logp) -> Iterator[pa.RecordBatch]:
-            lattice = _lattice(vocabulary_path, start if logp is None else logp)
+        def expect(batches: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
+            lattice = _lattice(vocabulary_path, logp)
             use = np.zeros(len(lattice.pieces))
             for b in batches:
-                use += lattice.expected(b.column(0).to_pylist(), np.ones(b.num_rows))
+                use += lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float))
             at = np.flatnonzero(use)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(at, pa.int32()), "uses": pa.array(use[at], pa.float64())})
 
-        got = counted.where("c > 0").select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # as many rows as the vocabulary has pieces
-        use = np.full(len(start), 0.01)
+        got = counted.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # as many rows as the vocabulary has pieces
+        use = len(own) * np.exp(own)  # the prior: one use for each piece on average
         for r in got:
             use[r.piece] += r.uses
         logp = np.log(use / use.sum())
-    weights = start if logp is None else logp
-
-    discount = sums.n1 / (sums.n1 + 2 * sums.n2) if sums.n1 and sums.n2 else 0.75
-    free = discount * sums.v / n if sums.v else 1.0
-    least = smooth / (n + smooth * (v + 1))
+    end_share = (ends + smooth) / (n + 2 * smooth)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(vocabulary_path, weights)
+        lattice = _lattice(vocabulary_path, logp)
         for b in batches:
             c = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            own = np.log(np.maximum(c - discount, 1e-300) / max(n, 1))
-            spelled = lattice.words(b.column(0).to_pylist()) + np.log(free)
             yield pa.RecordBatch.from_pydict({
                 "word": b.column(0), "c": b.column(1),
                 "base": pa.array(np.log10((c + smooth) / (n + smooth * (v + 1)))),
-                "lp": pa.array(np.where(c > 0, np.logaddexp(own, spelled), spelled) / np.log(10)),
+                "lp": pa.array((lattice.words(b.column(0).to_pylist()) + np.log1p(-end_share)) / np.log(10)),
             })
 
     rated = tables.write(counted.mapInArrow(rate, "word string, c long, base double, lp double"))
-    head_rows = rated.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD)
-    head = {r.word.encode(): (int(r.c > 0), r.base, r.lp) for r in head_rows.toLocalIterator()}
+    head, size = {}, 0
+    for r in rated.where(F.octet_length("word") <= HEAD_BYTES // 128).orderBy(F.desc("c"), "word").limit(HEAD).toLocalIterator():
+        word = r.word.encode("utf-8", "surrogatepass")
+        size += len(word)
+        if size > HEAD_BYTES:
+            break
+        head[word] = (int(r.c > 0), r.base, r.lp)
     sent = spark.sparkContext.broadcast(head)
-    end = (int(ends > 0), float(np.log10((ends + smooth) / (n + smooth * (v + 1)))), float(np.log10(max(ends, 0.1) / n)) if n else float(np.log10(least * n + 0.5)))
+    end = (int(ends > 0), float(np.log10((ends + smooth) / (n + smooth * (v + 1)))), float(np.log10(end_share)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for b in batches:
+        for b in slices(batches):
             rid, ids, texts = (b.column(k).to_pylist() for k in range(3))
             for lo in range(0, len(rid), 64):
                 rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
@@ -358,7 +355,7 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = 3, smooth: float
                 names = ("rid", "doc_id", "word", "k", "n_tokens", "n_known", "base0", "lp0")
                 yield pa.RecordBatch.from_pydict({name: pa.array(col, t) for name, col, t in zip(names, rows, types)})
 
-    looked = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(look, "rid long, doc_id long, word string, k long, n_tokens long, n_known long, base0 double, lp0 double")
+    looked = tables.write(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(look, "rid long, doc_id long, word string, k long, n_tokens long, n_known long, base0 double, lp0 double"))  # written, as the numbers of rows must not change
     part = looked.join(rated, "word", "left").select(
         "rid", "doc_id", "n_tokens",
         (F.col("n_known") + F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"),

@@ -426,6 +426,35 @@ def test_lattice_sums_all_segmentations():
         assert abs(((other.words(words) - lattice.words(words)) * counts).sum() / d - use[k]) < 1e-3
 
 
+def test_scores_are_marginals(spark, odd):
+    """The score of a text is the sum over all segmentations of its words, and its end, by plain recursion."""
+    rows = [(1, "Ab ab abc  déjà\tvu"), (2, ""), (3, None), (10, "Ab " * 3 + "x" * 70), (4, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = queries.vocabulary("piece_bpe_32k.model")
+    lattice = lm_score.vocabulary(path)
+    weight = {p: x for p, x in zip(lattice.pieces, lattice.logp)}
+    inner = {b: lattice.logp[k] for b, k in lattice.byte_pieces.items()}
+    for k in lattice.byte_pieces.values():
+        weight.pop(lattice.pieces[k], None)
+
+    def plain_word(w):
+        s, a = lm_score.MARK + w, [0.0]
+        for j in range(1, len(s) + 1):
+            arcs = [a[i] + weight[s[i:j]] for i in range(j) if s[i:j] in weight]
+            if s[j - 1] not in weight:
+                arcs.append(a[j - 1] + sum(inner[b] for b in s[j - 1].encode()))
+            a.append(float(np.logaddexp.reduce(arcs)))
+        return a[-1]
+
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    training = [x for d, x in rows if crc32(str(d).encode()) % 10]
+    ends, n = len(training), sum(len(words(x)) + 1 for x in training)
+    share = (ends + 0.1) / (n + 0.2)
+    want = {d: (sum(plain_word(w) + math.log(1 - share) for w in words(x)) + math.log(share)) / math.log(10) for d, x in rows}
+    got = {r.doc_id: r.score for r in lm_score.score(df, path, rounds=0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def brute_base(rows):
     tok = [(d, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))) for d, x in rows]
     out = lambda d: crc32(("" if d is None else str(d)).encode()) % 10 == 0
