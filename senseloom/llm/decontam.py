@@ -18,8 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle, at most.
 SHINGLE = 3
-#: Windows that are sent to every executor; more are joined by a shuffle.
-MOST_SENT = 100_000
+#: Shingles (twelve bytes each) that are sent to every executor; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -59,36 +59,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_sen
     hit. The words of a text are taken apart within its row, and only hits are
     gathered by row, so neither long texts nor groups of copies meet in one place.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    tables = Tables(docs.sparkSession)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("words"))
     windows = tables.write(item_windows(benchmark, size).withColumn("width", F.least(F.lit(SHINGLE), F.size("window"))).withColumn("length", F.size("window")))
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # SHINGLE of them at most
     if not widths:
         return base.selectExpr("doc_id", "cast(size(words) as long) n_words", "0L n_hit", "cast(array() as array<string>) items")
-    sent = windows.limit(most_sent + 1).count() <= most_sent
 
     by_width = " ".join(f"when {k} then {_key('window', 'i', k)}" for k in widths)
     shingles = windows.selectExpr("*", "explode(sequence(0, length - width)) i").selectExpr("*", f"case width {by_width} end key")
-    known = shingles.select("width", "key").distinct()
-    seen = positions(base, widths).where("pos is not null").select("width", "key")
-    counts = seen.join(F.broadcast(known) if sent else known, ["width", "key"]).groupBy("width", "key").agg(F.count("*").alias("n"))
+    known = tables.write(shingles.select("width", "key").distinct().withColumn("met", F.lit(True)))
+    sent = known.limit(most_sent + 1).count() <= most_sent
+
+    # the only pass over the words: what met a shingle, with the words of any window around it, and one row of each document
+    around = f"slice(words, greatest(0, pos - {size}) + 1, {2 * size + SHINGLE})"
+    rows = ("rid", "doc_id", "n_words", "pos", "width", "key", "met", "around")
+    if sent:
+        met = positions(base, widths).join(F.broadcast(known), ["width", "key"], "left").where("met or coalesce(pos, 0) = 0").withColumn("around", F.expr(f"if(met, {around}, null)")).select(*rows)
+    else:
+        at = positions(base, widths)
+        one = at.where(f"coalesce(pos, 0) = 0 and width = {widths[0]}").selectExpr("rid", "doc_id", "n_words", "pos", "width", "key", "false met", "cast(null as array<string>) around")
+        met = at.where("pos is not null").withColumn("around", F.expr(around)).join(known, ["width", "key"]).select(*rows).unionByName(one)
+    seen = tables.write(met)
+    counts = seen.where("met").groupBy("width", "key").agg(F.count("*").alias("n"))
     rarest = shingles.join(counts, ["width", "key"], "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "i", "width", "length", "items")).alias("r"))
     # a window with a shingle that no document holds occurs in none
     prefixes = tables.write(rarest.where("r.n > 0").selectExpr("r.key pkey", "r.width pwidth", "r.i i", "r.length length", "window", "r.items items"))
 
-    fits = "pos >= i and pos - i + length <= n_words and slice(words, pos - i + 1, length) = window"
-    if sent:
-        at = positions(base, widths)
-        on = F.expr(f"key = pkey and width = pwidth and {fits}")
-        found = at.join(F.broadcast(prefixes), on, "left").where("window is not null or coalesce(pos, 0) = 0")
-        hits = found.selectExpr("rid", "doc_id", "n_words", "pos - i start", "length", "items")
-    else:
-        at = positions(base, widths).drop("words", "doc_id").where("pos is not null")
-        met = at.join(prefixes, F.expr("key = pkey and width = pwidth and pos >= i and pos - i + length <= n_words")).select("rid", "pos", "i", "length", "window", "items")
-        held = base.join(met, "rid", "left")
-        ok = "slice(words, pos - i + 1, length) = window"
-        hits = held.selectExpr("rid", "doc_id", "size(words) n_words", f"if({ok}, pos - i, null) start", f"if({ok}, length, null) length", f"if({ok}, items, null) items")
+    fits = f"met and key = pkey and width = pwidth and pos >= i and pos - i + length <= n_words and slice(around, least(pos, {size}) - i + 1, length) = window"
+    found = seen.join(prefixes, F.expr(fits)).selectExpr("rid", "doc_id", "n_words", "pos - i start", "length", "items")
+    every = seen.where("coalesce(pos, 0) = 0").selectExpr("rid", "doc_id", "n_words", "cast(null as int) start", "cast(null as int) length", "cast(null as array<string>) items")
+    hits = found.unionByName(every)
 
     spans = F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length"))))
     by_row = hits.groupBy("rid", "doc_id").agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("s"), F.collect_set("items").alias("i"))
