@@ -73,7 +73,10 @@ class ByteBpe:
         """Pre-tokens of plain Latin-1 are found here and merged by the library's model; all else is the library's."""
         if len(part) > LONGEST_KEPT or not _SIMPLE.fullmatch(part):
             return self.whole(part)
-        return b"".join(map(self.words.__getitem__, _PRE_TOKENS.findall(part)))
+        found = _PRE_TOKENS.findall(part)
+        if len(found) == 1:
+            return self.pre_token(found[0])  # kept as a part already
+        return b"".join(map(self.words.__getitem__, found))
 
     def ids(self, text: str) -> bytes:
         if not text:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, _scopes.pop())
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, as texts become Python objects one slice at a time; at the end a worker gives back what it no longer uses."""
+    try:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                yield b.slice(lo, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def fresh(taken: list[str], base: str) -> str:
     """A column name that none of the given ones equals, whatever its case."""
     have = {c.lower() for c in taken}

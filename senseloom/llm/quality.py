@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh
+from ._shared import fresh, slices
 
 PASSAGE = 1024
 PAIRS = 512
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
     sample = chosen[0].unionByName(chosen[1]) if len(chosen) > 1 else chosen[0]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text, quality in zip(*(b.column(k).to_pylist() for k in range(3))):
                 x, _ = passages([text])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "quality": pa.array([quality], pa.int32()), "x": pa.array([x.astype(np.float16).tobytes()], pa.binary())})
@@ -215,12 +215,10 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
     sent = docs.select(*keep) if own else docs.select(F.col("text").alias(fresh(list(keep), "text")), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                texts = some.column(at).to_pylist()
-                made = model.score(texts) if model else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*some.columns[0 if own else 1 :], pa.array(made.astype(float), pa.float64())], names=[*keep, name])
+        for b in slices(batches):
+            texts = b.column(at).to_pylist()
+            made = model.score(texts) if model else np.full(len(texts), 0.5)
+            yield pa.RecordBatch.from_arrays([*b.columns[0 if own else 1 :], pa.array(made.astype(float), pa.float64())], names=[*keep, name])
 
     return sent.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Tables, connected_components
+from ._shared import Tables, connected_components, slices
 
 BANDS, BAND = 4, 16
 RADIUS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, print) for each row; print holds the 64 bits as a long. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             prints = [fingerprint(x, width, seed) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).cast(pa.int64()), "print": pa.array(np.array(prints, "<u8").view("<i8"), pa.int64())})
 

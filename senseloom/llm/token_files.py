@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bpe import byte_bpe
-from ._shared import shared_folder
+from ._shared import delete, shared_folder, slices
 
 MAGIC = b"DAC1"
 DIRECTORY = 512
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             return row
 
         size = 0
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = enc.ids(text or "") + end
                 held[0].append(doc_id)
@@ -196,8 +196,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def remove(folder: str, spark: SparkSession) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, folder)
 
 
 __all__ = ["TokenFile", "encode_levels", "file_bytes", "read_tokens", "remove", "write_tokens"]
