@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -71,17 +72,24 @@ def tsv_safe(t: Column) -> Column:
     return F.translate(F.coalesce(t.cast("string"), F.lit("")), "\n\t", "  ")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once, however often and in whatever lambda then has it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def n_grams(tokens: Column, n: int, least: int = 1) -> Column:
     """All runs of least..n tokens joined by underscores, shorter ones first; n = 1 gives the tokens."""
     if n == 1:
         return tokens
-    size = F.size(tokens)
 
-    def runs(k: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - k + 1), lambda j: F.array_join(F.slice(tokens, j, k), "_"))
+    def grams(t: Column) -> Column:
+        def runs(k: Column) -> Column:
+            starts = F.slice(t, F.lit(1), F.greatest(F.lit(0), F.size(t) - k + 1))
+            return F.transform(starts, lambda _, j: F.array_join(F.slice(t, j + 1, k), "_"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(least), F.lit(n)), runs))
 
-    grams = F.flatten(F.transform(F.sequence(F.lit(least), F.least(F.lit(n), size)), runs))
-    return F.when(size < least, F.array().cast("array<string>")).otherwise(grams)
+    return bound(tokens, grams)
 
 
 def join_tokens(tokens: Column, lemma: bool = False, strict: bool = False) -> Column:
@@ -90,11 +98,11 @@ def join_tokens(tokens: Column, lemma: bool = False, strict: bool = False) -> Co
     def form(t: Column) -> Column:
         return F.coalesce(t["lemma"], t["value"]) if lemma else t["value"]
 
-    def add(acc: Column, t: Column) -> Column:
+    def add(t: Column, i: Column) -> Column:
         first = t["value"] if strict else form(t)
-        return F.struct(F.when(acc["k"] == 0, first).otherwise(F.concat(acc["s"], F.coalesce(t["before"], F.lit(" ")), form(t))).alias("s"), (acc["k"] + 1).alias("k"))
+        return F.when(i == 0, first).otherwise(F.concat(F.coalesce(t["before"], F.lit(" ")), form(t)))
 
-    return F.aggregate(tokens, F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), add, lambda a: a["s"])
+    return F.array_join(F.transform(tokens, add), "")
 
 
 def prepare_tokens(tokens: Column, n: int = 1, caseless: bool = True, skip_punctuation: bool = True, pos: bool = False, lemma: bool = False) -> Column:

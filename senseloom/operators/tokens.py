@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running
 from ..functions.text import LOSSLESS
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n") -> DataFrame:
-    """(doc_id, par_idx, start, text): pieces between separators with their place; empty ones are left out but for the numbers."""
+    """(doc_id, par_idx, start, text): pieces between separators with their place; empty ones are left out but for the numbers.
+
+    Places are made within the row, so nothing is shuffled.
+    """
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s)(?:{separator})|(?:(?!{separator}).)+"), F.lit(0))
-    at = docs.select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    gap = F.col("piece").rlike(f"^(?:{separator})$")
-    placed = at.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("gap", gap)
-    numbered = placed.withColumn("par_idx", F.coalesce(F.sum(F.col("gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.where(~F.col("gap")).select("doc_id", "par_idx", "start", F.col("piece").alias("text"))
+    at = docs.select("doc_id", pieces.alias("ps")).withColumn("gaps", F.transform("ps", lambda p: p.rlike(f"^(?:{separator})$").cast("int")))
+    row = f"transform(ps, (p, i) -> struct(cast(z.n[i] as bigint) as par_idx, cast(z.e[i] - length(p) as bigint) as start, p as text, gaps[i] as gap))"
+    placed = F.expr(let("z", f"struct({running('transform(ps, p -> length(p))')} as e, {running('gaps')} as n)", row))
+    return at.select("doc_id", F.explode(placed).alias("x")).where("x.gap = 0").select("doc_id", "x.par_idx", "x.start", "x.text")
+
+
+def token_arrays(text: str = "text") -> str:
+    """SQL for array<struct<start, end, value, before, after>>: the tokens of a text with the gaps around them."""
+    pieces = f"regexp_extract_all(coalesce({text}, ''), '{LOSSLESS}', 0)".replace("\\", "\\\\")
+    gap = "{} rlike '^\\\\s'".format
+    near = lambda i: let("n", f"get(z.w, {i})", f"if({gap('n')}, n, '')")
+    each = f"struct(cast(z.e[i] - length(x) as bigint) as start, cast(z.e[i] as bigint) as end, x as value, {near('i - 1')} as before, {near('i + 1')} as after)"
+    made = f"filter(transform(z.w, (x, i) -> if({gap('x')}, null, {each})), x -> x is not null)"
+    return let("w", pieces, let("z", f"struct(w as w, {running('transform(w, x -> length(x))')} as e)", made))
 
 
 def tokens(pieces_of: DataFrame, key: list[str], column: str = "text") -> DataFrame:
-    """One row for each token of a text: number, start, end, value, before and after (the gaps); they join to the text without loss."""
-    pieces = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(LOSSLESS), F.lit(0))
-    at = pieces_of.select(*key, F.posexplode(pieces).alias("pos", "value"))
-    w = Window.partitionBy(*key).orderBy("pos")
-    end = F.sum(F.length("value")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    around = at.withColumn("end", end).withColumn("b", F.lag("value").over(w)).withColumn("a", F.lead("value").over(w)).withColumn("gap", F.col("value").rlike(r"^\s+$"))
-    kept = around.where(~F.col("gap"))
-    space = lambda c: F.when(F.col(c).rlike(r"^\s+$"), F.col(c)).otherwise("")
-    return kept.select(*key, F.row_number().over(w).alias("tok"), (F.col("end") - F.length("value")).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "value", space("b").alias("before"), space("a").alias("after"))
+    """One row for each token of a text: number, start, end, value, before and after (the gaps); they join to the text without loss.
+
+    All within the row: a text's tokens are never shuffled.
+    """
+    at = pieces_of.select(*key, F.expr(f"posexplode({token_arrays(column)}) (i, x)"))
+    return at.select(*key, (F.col("i") + 1).alias("tok"), "x.start", "x.end", "x.value", "x.before", "x.after")
 
 
 def sentences(token_rows: DataFrame, key: list[str]) -> DataFrame:
