@@ -16,16 +16,15 @@ def resolve_links(category_links: DataFrame, categories: DataFrame, articles: Da
     return sub, pages.select(F.col("from_id").alias("article_id"), "category_id")
 
 
-def closure(subcategories: DataFrame, roots: DataFrame, deepest: int = 1000) -> DataFrame:
-    """category_id of the roots and all below them; cycles end, as only new categories go on."""
+def closure(subcategories: DataFrame, roots: DataFrame) -> DataFrame:
+    """category_id of the roots and all below them, however deep; cycles end, as only new categories go on."""
     seen = frontier = keep(roots.select("category_id").distinct())
     edges = keep(subcategories.select("category_id", "subcategory_id").distinct())
-    for _ in range(deepest):
+    while True:
         frontier = keep(edges.join(frontier, "category_id").select(F.col("subcategory_id").alias("category_id")).distinct().join(seen, "category_id", "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def flag_disambiguation(articles: DataFrame, article_categories: DataFrame, categories: DataFrame) -> DataFrame:

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that isn't set, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="senseloom-")
+    """A new folder below spark.checkpoint.dir; only on one machine, where that may be unset, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="senseloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -18,4 +22,13 @@ def keep(df: DataFrame) -> DataFrame:
     """df, written once as Parquet: what follows plans from a scan, and a lost executor costs no more than that."""
     at = folder(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    kept = df.sparkSession.read.schema(df.schema).parquet(at)
+    kept._kept_at = at
+    return kept
+
+
+def drop(kept: DataFrame) -> None:
+    """Delete what keep() wrote, once nothing needs it."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

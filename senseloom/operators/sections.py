@@ -13,19 +13,26 @@ def with_counts(sections: DataFrame, paragraph_counts: DataFrame) -> DataFrame:
     return sections.join(paragraph_counts, ["article_id", "section_index"], "left").withColumn("paragraph_count", F.coalesce("paragraph_count", F.lit(0).cast("bigint")))
 
 
-def rollup(sections: DataFrame, deepest: int = 50) -> DataFrame:
-    """total_paragraph_count: the count of a section and of all below it.
+def most_sections(sections: DataFrame) -> int:
+    """Sections of the article that has the most: no hierarchy of an article is deeper."""
+    return sections.groupBy("article_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def rollup(sections: DataFrame) -> DataFrame:
+    """total_paragraph_count: the count of a section and of all below it, however deep; sections that are below themselves are an error.
 
     Counts rise one level a round, already added up by parent, so a round moves no more
     rows than there are inner sections; it ends when nothing rises.
     """
     parent = sections.select("article_id", F.col("section_index").alias("at"), "parent_index")
     rising = sections.where("parent_index is not null").select("article_id", F.col("parent_index").alias("at"), F.col("paragraph_count").alias("n"))
-    gains = []
-    for _ in range(deepest):
+    gains, deepest = [], most_sections(sections)
+    while True:
         rising = keep(rising.groupBy("article_id", "at").agg(F.sum("n").alias("n")))
         if rising.isEmpty():
             break
+        if len(gains) >= deepest:
+            raise ValueError("sections form a cycle")
         gains.append(rising)
         rising = rising.join(parent, ["article_id", "at"]).where("parent_index is not null").select("article_id", F.col("parent_index").alias("at"), "n")
     total = sections.select("article_id", F.col("section_index").alias("at"), F.col("paragraph_count").alias("n"))

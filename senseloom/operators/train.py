@@ -110,9 +110,9 @@ class Model:
         return loss / len(batch)
 
 
-def features(examples: DataFrame, params: Params) -> DataFrame:
-    """(buckets, possible_senses, sense) of examples(tokens, possible_senses, sense)."""
-    return examples.withColumn("buckets", F.transform("tokens", lambda t: text.bucket(t, params.buckets))).select("buckets", "possible_senses", "sense")
+def features(examples: DataFrame, params: Params, keep: list[str] | None = None) -> DataFrame:
+    """(buckets, possible_senses, sense) and the columns to keep of examples(tokens, possible_senses, sense)."""
+    return examples.withColumn("buckets", F.transform("tokens", lambda t: text.bucket(t, params.buckets))).select(*(keep or []), "buckets", "possible_senses", "sense")
 
 
 def train_epoch(examples: DataFrame, model: Model, batch_size: int) -> tuple[Model, float]:
@@ -180,16 +180,17 @@ def train_until(examples: DataFrame, dev: DataFrame, params: Params, least_slope
     return model, values
 
 
-def predict(examples: DataFrame, model: Model) -> DataFrame:
-    """(sense, predicted): the first best of each example's own candidates."""
+def predict(examples: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """(sense, predicted) and the columns to keep: the first best of each example's own candidates."""
     sent = examples.sparkSession.sparkContext.broadcast(model)
+    data = features(examples, model.params, keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             best = [int(y[int(np.argmax(sent.value.logits([int(b) for b in x], [int(c) for c in y])))]) for x, y in zip(pdf.buckets, pdf.possible_senses)]
-            yield pd.DataFrame({"sense": pdf.sense, "predicted": best})
+            yield pdf[[*(keep or []), "sense"]].assign(predicted=best)
 
-    return features(examples, model.params).mapInPandas(run, "sense long, predicted long")
+    return data.mapInPandas(run, data.select(*(keep or []), "sense").schema.add("predicted", "long"))
 
 
 def save(model: Model, spark, path: str) -> None:
