@@ -29,7 +29,7 @@ class Inputs:
         return self.spark.sql(q, **dfs)
 
     def make_articles(self) -> DataFrame:
-        t = "concat(translate({a}.p_name, ' ', '_'), '_(', {a}.p_partkey, ')')"
+        t = "concat(if({a}.p_partkey % 7 = 3, concat('Variant_', {a}.p_partkey % 97, '_'), ''), translate({a}.p_name, ' ', '_'), '_(', {a}.p_partkey, ')')"
         return self.sql(
             f"""select p.p_partkey id, {t.format(a='p')} title, case when p.p_partkey % 7 = 3 then {t.format(a='q')} end redirect_article_title,
                 cast(p.p_partkey % 10 = 0 and p.p_partkey % 7 <> 3 as int) is_disambig
@@ -44,7 +44,7 @@ class Inputs:
     def make_w_links(self) -> DataFrame:
         return self.sql(
             """select l_orderkey % (select count(*) from {part}) article_id, cast(l_linenumber - 1 as bigint) section_index, cast(floor(l_quantity) as bigint) % 5 paragraph_index,
-               l_suppkey % 3 sentence_index, l_partkey linked_article_id, cast(-1 as bigint) linked_section_index, if(l_returnflag = 'R', p_brand, p_name) link_title,
+               l_suppkey % 3 sentence_index, l_partkey linked_article_id, cast(if(l_suppkey % 4 = 0, l_partkey % 7, -1) as bigint) linked_section_index, if(l_returnflag = 'R', p_brand, p_name) link_title,
                lower(if(l_returnflag = 'R', p_brand, p_name)) group_title
                from {lineitem} join {part} on l_partkey = p_partkey""",
             part=self.part, lineitem=self.lineitem,
@@ -112,16 +112,17 @@ T3 = _T3.format
 T2 = "replace(replace(url_encode(replace({}, ' ', '_')), '%3A', ':'), '%', '.')".format
 MASS = "article_paragraph_count + linked_count_matching_title + linked_count_other_title"
 
+_NAME = "(case when {0}.p_partkey % 7 = 3 then 'Variant_' || ({0}.p_partkey % 97) || '_' else '' end || replace({0}.p_name, ' ', '_') || '_(' || {0}.p_partkey || ')')".format
+
 #: Views as SQL; each may use those before it.
 VIEWS: dict[str, str] = {
     "cnt": "select count(*) n from part",
-    "articles": f"""select p.p_partkey id, replace(p.p_name, ' ', '_') || '_(' || p.p_partkey || ')' title,
-        case when p.p_partkey % 7 = 3 then replace(q.p_name, ' ', '_') || '_(' || q.p_partkey || ')' end redirect_article_title,
-        (p.p_partkey % 10 = 0 and p.p_partkey % 7 <> 3)::int is_disambig, {T3("replace(p.p_name, ' ', '_') || '_(' || p.p_partkey || ')'")} group_title
+    "articles": f"""select p.p_partkey id, {_NAME('p')} title, case when p.p_partkey % 7 = 3 then {_NAME('q')} end redirect_article_title,
+        (p.p_partkey % 10 = 0 and p.p_partkey % 7 <> 3)::int is_disambig, {T3(_NAME('p'))} group_title
         from part p, cnt, part q where q.p_partkey = (p.p_partkey * 13 + 5) % n""",
     "raw_sections": "select p_partkey article_id, s section_index, case when s > 0 then (s - 1) // 2 end parent_index, case when s = 1 then 'See also' else 'Section ' || s end title from part, range(7) t(s)",
     "w_links": """select l_orderkey % n article_id, (l_linenumber - 1)::bigint section_index, floor(l_quantity)::bigint % 5 paragraph_index, l_suppkey % 3 sentence_index, l_partkey linked_article_id,
-        -1::bigint linked_section_index, case when l_returnflag = 'R' then p_brand else p_name end link_title, lower(case when l_returnflag = 'R' then p_brand else p_name end) group_title
+        (case when l_suppkey % 4 = 0 then l_partkey % 7 else -1 end)::bigint linked_section_index, case when l_returnflag = 'R' then p_brand else p_name end link_title, lower(case when l_returnflag = 'R' then p_brand else p_name end) group_title
         from lineitem join part on l_partkey = p_partkey, cnt""",
     "links": "select w.*, a.is_disambig is_on_disambig_page from w_links w join articles a on a.id = w.article_id",
     "unresolved": """select l_orderkey % n article_id, (l_linenumber - 1)::bigint section_index, title || case when l_suppkey % 11 = 0 then '_missing' else '' end linked_article,
@@ -164,7 +165,10 @@ VIEWS: dict[str, str] = {
     "labels_of": "select sgs.id \"label\", article_id, section_index from sgs join senses s on s.id = sgs.sense",
     "link_examples": """select distinct l.article_id, l.section_index, l.paragraph_index, l.sentence_index, x."label" from links l join labels_of x on x.article_id = l.linked_article_id and x.section_index = l.linked_section_index
         where is_on_disambig_page = 0""",
-    "down": "select \"label\", x.article_id, s.section_index, s.paragraph_count from labels_of x join counted s on s.article_id = x.article_id and (x.section_index = -1 or s.section_index = x.section_index)",
+    "below": """select "label", article_id, section_index from labels_of where section_index >= 0
+        union all select b."label", b.article_id, s.section_index from below b join raw_sections s on s.article_id = b.article_id and s.parent_index = b.section_index""",
+    "down": """select "label", x.article_id, s.section_index, s.paragraph_count from labels_of x join counted s on s.article_id = x.article_id and x.section_index = -1
+        union all select "label", b.article_id, b.section_index, s.paragraph_count from below b join counted s on s.article_id = b.article_id and s.section_index = b.section_index""",
     "paragraph_examples": "select article_id, section_index, unnest(range(0, paragraph_count)) paragraph_index, null::bigint sentence_index, \"label\" from down",
     "keyed": "select *, md5(article_id || ':' || section_index || ':' || paragraph_index || ':' || coalesce(sentence_index, -1)) k from link_examples",
     "quotas": "select \"label\", round_even(count(*) * 0.15, 0)::bigint q from link_examples group by 1",
@@ -189,4 +193,4 @@ def with_views(query: str, *names: str) -> str:
         if n not in wanted:
             wanted |= {n}
             todo += [w for w in set(re.findall(r"\w+", VIEWS[n])) if w in VIEWS and w != n]
-    return "with recursive " + ",\n".join(f"{n} as {'' if n == 'up' else 'materialized '}({VIEWS[n]})" for n in VIEWS if n in wanted) + "\n" + query
+    return "with recursive " + ",\n".join(f"{n} as {'' if n in ('up', 'below') else 'materialized '}({VIEWS[n]})" for n in VIEWS if n in wanted) + "\n" + query

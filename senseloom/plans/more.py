@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import examples as exa
-from ..operators import infer, tokens, train
+from ..operators import infer, train
 from ..operators.keep import folder, keep
 from ..sources import dumps, wikitext
 from ..streaming import disambiguate as live
 from .fixtures import Inputs
-from .registry import _link_examples, phrases, query, score, urls
+from .registry import DISAMBIGUATE, _link_examples, phrases, query, score, urls
 
 
-@query()
+@query(DISAMBIGUATE)
 def stream_disambiguate(i: Inputs) -> DataFrame:
     """The rows of disambiguate, from a stream of the documents' files."""
     spark, source = i.spark, f"{i.sf_dir}/documents.parquet"
@@ -28,7 +28,7 @@ def stream_disambiguate(i: Inputs) -> DataFrame:
     known, named = ph.select("phrase", "label"), urls(i, ph)
 
     def answer(batch: DataFrame) -> DataFrame:
-        return infer.disambiguate(tokens.tokens(batch, ["doc_id"]), ["doc_id"], known, score(), named)
+        return infer.disambiguate(batch, ["doc_id"], known, score, named)
 
     live.run(stream, answer, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")
@@ -43,13 +43,19 @@ def sql_dump_scan(i: Inputs) -> DataFrame:
     return dumps.page_table(i.spark.read.text(at))
 
 
-@query(r"select page_id id, upper(url[1]) || replace(url[2:], ' ', '_') title from pages")
+_MOVED = "page_id % 6 = 0"
+
+
+@query(rf"""select page_id id, upper(url[1]) || replace(url[2:], ' ', '_') title, md5(case when {_MOVED} then '#REDIRECT [[other ' || page_id || '#The section|x]]' else html end) digest,
+case when {_MOVED} then 'Other_' || page_id end redirect_article_title, case when {_MOVED} then 'The_section' end redirect_section_id from pages where page_id % 4 <> 1 and page_id % 5 <> 2""")
 def xml_pages(i: Inputs) -> DataFrame:
-    r = F.struct(F.col("page_id").alias("id"), F.struct(F.col("html").alias("_VALUE")).alias("text"), F.lit("wikitext").alias("model"), F.lit("text/x-wiki").alias("format"))
-    rows = i.pages.select(F.col("url").alias("title"), F.lit(0).alias("ns"), F.col("page_id").alias("id"), F.array(r).alias("revision"))
+    """Pages of two namespaces and two content models, some of them redirects, through a dump in XML."""
+    moved = f"if({_MOVED}, concat('#REDIRECT [[other ', page_id, '#The section|x]]'), html)"
+    r = F.struct(F.col("page_id").alias("id"), F.struct(F.expr(moved).alias("_VALUE")).alias("text"), F.expr("if(page_id % 5 = 2, 'json', 'wikitext')").alias("model"), F.lit("text/x-wiki").alias("format"))
+    rows = i.pages.select(F.col("url").alias("title"), F.expr("cast(page_id % 4 = 1 as int)").alias("ns"), F.col("page_id").alias("id"), F.array(r).alias("revision"))
     at = folder(i.spark)
     rows.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(at)
-    return dumps.articles(dumps.read_pages(i.spark, at)).select("id", "title")
+    return dumps.articles(dumps.read_pages(i.spark, at)).select("id", "title", F.md5("text").alias("digest"), "redirect_article_title", "redirect_section_id")
 
 
 @query()
@@ -58,20 +64,20 @@ def wikitext_parse(i: Inputs) -> DataFrame:
     return wikitext.shred(parsed)["paragraphs"]
 
 
-@query("select l_orderkey article_id, l_linenumber section_index, 'a b' \"value\" from lineitem")
+@query("select l_orderkey article_id, l_linenumber section_index, l_linestatus || ' ' || l_partkey \"value\", l_returnflag pos from lineitem")
 def tsv_round_trip(i: Inputs) -> DataFrame:
     zero = F.lit(0).cast("long")
-    t = i.lineitem.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").cast("long").alias("section_index"), zero.alias("paragraph_index"), zero.alias("sentence_index"), zero.alias("begin"), zero.alias("end"), F.lit("a\tb").alias("value"), *(F.lit(None).cast("string").alias(c) for c in ("pos", "lemma", "before", "after")))
+    t = i.lineitem.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").cast("long").alias("section_index"), zero.alias("paragraph_index"), zero.alias("sentence_index"), zero.alias("begin"), zero.alias("end"), F.concat_ws("\t", "l_linestatus", F.col("l_partkey").cast("string")).alias("value"), F.col("l_returnflag").alias("pos"), *(F.lit(None).cast("string").alias(c) for c in ("lemma", "before", "after")))
     at = folder(i.spark)
     dumps.write_tsv(t, at, 4)
-    return dumps.read_tsv(i.spark, at, dumps.TOKENS).select("article_id", "section_index", "value")
+    return dumps.read_tsv(i.spark, at, dumps.TOKENS).select("article_id", "section_index", "value", "pos")
 
 
-@query("select conv_id id, count(*) n_tokens from conversations group by 1")
+@query("select conv_id id, count(*) n_tokens, sum(turn)::bigint starts, string_agg(role, ',' order by role) roles from conversations group by 1")
 def rest_requests(i: Inputs) -> DataFrame:
     t = F.array(F.col("turn").cast("string"), (F.col("turn") + 1).cast("string"), "role", F.lit(None).cast("string"), F.lit(""), F.lit(""))
     bodies = i.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.array(F.array_sort(F.collect_list(t))).alias("paragraphs"))).alias("body")).select(F.col("conv_id").alias("id"), "body")
-    return live.requests(bodies).groupBy("id").agg(F.count("*").alias("n_tokens"))
+    return live.requests(bodies).groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum("start").alias("starts"), F.array_join(F.array_sort(F.collect_list("value")), ",").alias("roles"))
 
 
 @query()
@@ -82,8 +88,9 @@ def split_greedy(i: Inputs) -> DataFrame:
 
 @query()
 def train_model(i: Inputs) -> DataFrame:
-    """Predictions of a language classifier, trained on documents of even numbers, for the others."""
+    """Predictions of a language classifier for all documents; it is trained on those whose crc32(doc_id as text) is even, the others are held out."""
     lang = F.expr("array_position(array('de', 'en', 'es', 'fr'), lang) - 1")
-    e = i.documents.where("text is not null").select("doc_id", F.slice(F.split(F.lower("text"), r"\s+"), 1, 2147483647).alias("tokens"), F.expr("array(0L, 1L, 2L, 3L)").alias("possible_senses"), lang.alias("sense"))
-    model, _ = train.train(e.where("doc_id % 2 = 0"), train.Params(buckets=1 << 14, rate=0.5), 2)
-    return train.predict(e.where("doc_id % 2 = 1"), model)
+    held = (F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % 2 == 1).alias("held_out")
+    e = i.documents.select("doc_id", held, F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+").alias("tokens"), F.expr("array(0L, 1L, 2L, 3L)").alias("possible_senses"), lang.alias("sense"))
+    model, _ = train.train(e.where("not held_out and sense >= 0"), train.Params(buckets=1 << 14, rate=0.5), 2)
+    return train.predict(e, model, ["doc_id", "held_out"])

@@ -43,18 +43,17 @@ def oracle_sql() -> dict[str, str]:
 # ---- titles and text
 
 _PIECES = r"regexp_extract_all(coalesce({}, ''), '(?s)\s+|[\p{{L}}\p{{N}}]+|.')".format
-_TITLE = "substr(text, 1, 40)"
 _STRIP = r"replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), ' ', '_')".format
 
 
-@query(f"select doc_id, case when t[1] = 'ß' then t else upper(t[1]) || t[2:] end title from (select doc_id, {_STRIP(_TITLE)} t from documents)")
+@query(f"select doc_id, case when t[1] = 'ß' then t else upper(t[1]) || t[2:] end title from (select doc_id, {_STRIP('text')} t from documents)")
 def normalize_titles(i: Inputs) -> DataFrame:
-    return i.documents.select("doc_id", text.page_title(F.expr(_TITLE)).alias("title"))
+    return i.documents.select("doc_id", text.page_title(F.col("text")).alias("title"))
 
 
-@query(f"select doc_id, {T2(_TITLE)} anchor from documents")
+@query(f"select doc_id, {T2('text')} anchor from documents")
 def section_anchor(i: Inputs) -> DataFrame:
-    return i.documents.select("doc_id", text.section_anchor(F.expr(_TITLE)).alias("anchor"))
+    return i.documents.select("doc_id", text.section_anchor(F.col("text")).alias("anchor"))
 
 
 _NAMES = "select 'part' source, p_partkey id, p_name t from part union all select 'supplier', s_suppkey, s_name from supplier union all select 'pages', page_id, url from pages"
@@ -140,21 +139,24 @@ def collapse_space(i: Inputs) -> DataFrame:
     return i.pages.select("page_id", text.collapse_space(F.col("html")).alias("flat"))
 
 
-@query("select item_id, len(g) n, md5(array_to_string(g, ' ')) digest from (select item_id, list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]), list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2]))) g from (select item_id, string_split(text, ' ') w from benchmark))")
+_GRAMS = """select doc_id, count(*) + count(b) + count(c) n, md5(concat_ws(' ', string_agg(a, ' ' order by pos), string_agg(b, ' ' order by pos), string_agg(c, ' ' order by pos))) digest
+from (select doc_id, pos, a, a || '_' || lead(a) over w b, {third} c from w window w as (partition by doc_id order by pos)) group by 1"""
+
+
+@query("with w as (select doc_id, unnest(s) a, generate_subscripts(s, 1) pos from (select doc_id, string_split(coalesce(text, ''), ' ') s from documents)) " + _GRAMS.format(third="a || '_' || lead(a) over w || '_' || lead(a, 2) over w"))
 def ngrams(i: Inputs) -> DataFrame:
-    g = i.benchmark.select("item_id", text.n_grams(F.split("text", " "), 3).alias("g"))
-    return g.select("item_id", F.size("g").alias("n"), F.md5(F.array_join("g", " ")).alias("digest"))
+    g = i.documents.select("doc_id", text.n_grams(F.split(F.coalesce("text", F.lit("")), " "), 3).alias("g"))
+    return g.select("doc_id", F.size("g").cast("bigint").alias("n"), F.md5(F.array_join("g", " ")).alias("digest"))
 
 
-_KEPT = f"list_transform(list_filter({_PIECES('text')}, lambda x: trim(x, chr(32) || chr(10)) <> '' and not x in ('.', ',', ';', ':', '!', '?', '(', ')', '[', ']', '{{', '}}', '\"', '''')), lambda x: lower(x))".replace("{{", "{").replace("}}", "}")
+_MARKS = "'.', ',', ';', ':', '!', '?', '(', ')', '[', ']', '{', '}', '\"', ''''"
 
 
-@query(f"select item_id, len(g) n, md5(array_to_string(g, ' ')) digest from (select item_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) g from (select item_id, {_KEPT} w from benchmark))")
+@query(_TOKENS + f", w as (select doc_id, tok pos, lower(\"value\") a from tok where \"value\" not in ({_MARKS})) " + _GRAMS.format(third="null::varchar"))
 def prepare_tokens(i: Inputs) -> DataFrame:
-    s = F.struct("tok", "value", F.lit(None).cast("string").alias("pos"), F.lit(None).cast("string").alias("lemma"))
-    t = tokens.tokens(i.benchmark, ["item_id"]).groupBy("item_id").agg(F.array_sort(F.collect_list(s)).alias("t"))
-    g = t.select("item_id", text.prepare_tokens(F.col("t"), 2).alias("g"))
-    return g.select("item_id", F.size("g").alias("n"), F.md5(F.array_join("g", " ")).alias("digest"))
+    t = i.documents.select("doc_id", F.expr(f"transform({tokens.token_arrays()}, x -> struct(x.value as value, cast(null as string) as pos, cast(null as string) as lemma))").alias("t"))
+    g = t.select("doc_id", text.prepare_tokens(F.col("t"), 2).alias("g")).where("size(g) > 0")
+    return g.select("doc_id", F.size("g").cast("bigint").alias("n"), F.md5(F.array_join("g", " ")).alias("digest"))
 
 
 @query("select w token, ('0x' || substr(md5(w), 1, 15))::bigint % 10000000 bucket from (select distinct unnest(string_split(text, ' ')) w from documents)")
@@ -162,11 +164,10 @@ def hash_buckets(i: Inputs) -> DataFrame:
     return i.documents.select(F.explode(F.split("text", " ")).alias("token")).distinct().select("token", text.bucket(F.col("token"), 10_000_000).alias("bucket"))
 
 
-@query("select item_id, trim(text, chr(32) || chr(10)) \"text\" from benchmark")
+@query("select doc_id, trim(text, chr(32) || chr(10)) \"text\" from documents where trim(coalesce(text, ''), chr(32) || chr(10)) <> ''")
 def token_join(i: Inputs) -> DataFrame:
-    s = F.struct("tok", "value", F.lit(None).cast("string").alias("lemma"), "before")
-    t = tokens.tokens(i.benchmark, ["item_id"]).groupBy("item_id").agg(F.array_sort(F.collect_list(s)).alias("t"))
-    return t.select("item_id", text.join_tokens(F.col("t")).alias("text"))
+    t = i.documents.select("doc_id", F.expr(f"transform({tokens.token_arrays()}, x -> struct(x.value as value, cast(null as string) as lemma, x.before as before))").alias("t")).where("size(t) > 0")
+    return t.select("doc_id", text.join_tokens(F.col("t")).alias("text"))
 
 
 # ---- sections, categories, links
@@ -399,19 +400,19 @@ select doc_id, start, e2, lower("value" || b2 || v2) from (select *, lead("value
 def phrases(i: Inputs) -> DataFrame:
     """(phrase, lang, label) of words and pairs of words that stand in documents of two languages or more."""
     w = i.documents.select("lang", F.expr(r"transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+', 0), x -> lower(x))").alias("w"))
-    pairs = F.expr("if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])))")
-    g = w.select("lang", F.explode(F.concat("w", pairs)).alias("phrase")).distinct()
-    both = g.groupBy("phrase").agg(F.collect_list("lang").alias("langs")).where("size(langs) > 1").select("phrase", F.explode("langs").alias("lang"))
+    pairs = F.expr("transform(slice(w, 1, greatest(0, size(w) - 1)), (x, i) -> concat(x, ' ', w[i + 1]))")
+    g = w.select("lang", F.explode(F.array_distinct(F.concat("w", pairs))).alias("phrase"))
+    both = g.groupBy("phrase").agg(F.collect_set("lang").alias("langs")).where("size(langs) > 1").select("phrase", F.explode("langs").alias("lang"))
     return sen.dense_ids(both, [F.asc("phrase"), F.asc("lang")], "label")
 
 
 def _spans(i: Inputs) -> DataFrame:
-    return infer.spans(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"], 2)
+    return infer.text_spans(i.documents, ["doc_id"], 2)
 
 
 @query(_TOKENS + f", {_PHRASES}, {_SPANS} select doc_id, start, \"end\", phrase from sp where phrase in (select phrase from ph)")
 def phrase_spans(i: Inputs) -> DataFrame:
-    return infer.match(_spans(i), phrases(i).select("phrase").distinct()).select("doc_id", "start", "end", "phrase")
+    return _spans(i).join(phrases(i).select("phrase").distinct(), "phrase").select("doc_id", "start", "end", "phrase")
 
 
 @query("select l_orderkey, l_linenumber, l_shipmode from (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then true when l_partkey % 2 = 0 and l_suppkey % 2 = 0 then false else true end ok, case when l_linenumber % 3 = 0 then 'null,VB' when l_partkey % 2 = 0 and l_suppkey % 2 = 0 then 'VB,DT' else 'DT,NN' end l_shipmode from lineitem) where ok")
@@ -424,15 +425,15 @@ def pos_gate(i: Inputs) -> DataFrame:
 @query(_TOKENS + f', {_PHRASES}, {_SPANS} select doc_id, string_agg("label", \',\' order by "label") candidates from (select distinct doc_id, "label" from sp join ph using (phrase)) group by 1')
 def candidate_union(i: Inputs) -> DataFrame:
     c = phrases(i).groupBy("phrase").agg(F.array_sort(F.collect_list("label")).alias("candidates"))
-    u = infer.candidate_union(infer.match(_spans(i), c), ["doc_id"])
+    u = infer.candidate_union(_spans(i).join(c, "phrase"), ["doc_id"])
     return u.select("doc_id", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
 
 
-def score() -> Column:
+def score(phrase: Column, label: Column) -> Column:
     """A stand-in for a model's logit that other engines can repeat."""
-    return F.substring(F.md5(F.concat_ws(":", "phrase", "label")), 1, 8)
+    return F.substring(F.md5(F.concat_ws(":", phrase, label)), 1, 8)
 
 
 _BEST = _TOKENS + f""", {_PHRASES}, {_SPANS},
@@ -442,35 +443,39 @@ best as (select doc_id, start, "end", phrase, arg_max("label", (substr(md5(phras
 
 @query(_BEST + 'select doc_id, start, "end", "label" from best')
 def best_sense(i: Inputs) -> DataFrame:
-    found = infer.match(_spans(i), phrases(i)).withColumn("logit", score())
-    return infer.best_sense(found, ["doc_id", "start", "end"]).select("doc_id", "start", "end", "label")
+    found = _spans(i).join(infer.candidates_of(phrases(i)), "phrase")
+    return infer.best_of(found, score).select("doc_id", "start", "end", "label")
 
 
 @query(_BEST + 'select doc_id, start, "end", coalesce("end" <= max("end") over (partition by doc_id order by start, "end" desc rows between unbounded preceding and 1 preceding), false)::int nested from best')
 def nested_ranges(i: Inputs) -> DataFrame:
-    found = infer.match(_spans(i), phrases(i)).withColumn("logit", score())
-    return infer.nested(infer.best_sense(found, ["doc_id", "start", "end"]), ["doc_id"]).select("doc_id", "start", "end", "nested")
+    found = _spans(i).join(infer.candidates_of(phrases(i)), "phrase")
+    return infer.nested(infer.best_of(found, score), ["doc_id"]).select("doc_id", "start", "end", "nested")
 
 
 def urls(i: Inputs, ph: DataFrame) -> DataFrame:
     return ph.select("label", text.sense_url(F.translate("phrase", " ", "_"), F.col("lang")).alias("url"))
 
 
-@query(_BEST + "select doc_id, start, \"end\", best.\"label\", 'https://en.wikipedia.org/wiki/' || replace(ph.phrase, ' ', '_') || '#' || lang url from best join ph using (\"label\")")
+DISAMBIGUATE = _BEST + "select doc_id, start, \"end\", best.\"label\", 'https://en.wikipedia.org/wiki/' || replace(ph.phrase, ' ', '_') || '#' || lang url from best join ph using (\"label\")"
+
+
+@query(DISAMBIGUATE)
 def disambiguate(i: Inputs) -> DataFrame:
     ph = phrases(i)
-    return infer.disambiguate(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"], ph.select("phrase", "label"), score(), urls(i, ph))
+    return infer.disambiguate(i.documents, ["doc_id"], ph.select("phrase", "label"), score, urls(i, ph))
 
 
 # ---- model arithmetic and evaluation
 
 _SIZE = 64
-_FEATURES = "f as (select item_id, ('0x' || substr(md5(w), 1, 15))::bigint % 500 bucket from (select item_id, unnest(string_split(text, ' ')) w from benchmark))"
-_POOLED = _FEATURES + ", pe as (select item_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from f join embeddings on vec_id = bucket)"
+_FEATURES = "v as (select count(*) n from embeddings), f as (select doc_id, ('0x' || substr(md5(w), 1, 15))::bigint % (select n from v) bucket, count(*) k from (select doc_id, unnest(string_split(coalesce(text, ''), ' ')) w from documents) group by 1, 2)"
+_POOLED = _FEATURES + ", ve as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings), pe as (select doc_id, i, sum(x * k) s, sum(k) n from f join ve on vec_id = bucket group by 1, 2)"
 
 
 def _features(i: Inputs) -> DataFrame:
-    return i.benchmark.select("item_id", F.explode(F.split("text", " ")).alias("t")).select("item_id", text.bucket(F.col("t"), 500).alias("bucket"))
+    w = i.documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("t"))
+    return w.select("doc_id", text.bucket(F.col("t"), i.embeddings.count()).alias("bucket"))
 
 
 def _vectors(i: Inputs) -> DataFrame:
@@ -478,44 +483,60 @@ def _vectors(i: Inputs) -> DataFrame:
 
 
 def _pool(i: Inputs, how: str) -> DataFrame:
-    return infer.pool(_features(i), _vectors(i), ["item_id"], _SIZE, how)
+    return infer.pool(_features(i), _vectors(i), ["doc_id"], _SIZE, how)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("item_id", F.posexplode("x").alias("i", "x")).select("item_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+    return df.select("doc_id", F.posexplode("x").alias("i", "x")).select("doc_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query(f"with {_POOLED} select item_id, i, round(avg(x), 6) x from pe group by 1, 2")
+@query(f"with {_POOLED} select doc_id, i, round(s / n, 6) x from pe")
 def pool_mean(i: Inputs) -> DataFrame:
     return _rounded(_pool(i, "mean"))
 
 
-@query(f"with {_POOLED} select item_id, i, round(sum(x) / sqrt(count(*)), 6) x from pe group by 1, 2")
+@query(f"with {_POOLED} select doc_id, i, round(s / sqrt(n), 6) x from pe")
 def pool_sqrtn(i: Inputs) -> DataFrame:
     return _rounded(_pool(i, "sqrtn"))
 
 
-_LOGITS = _POOLED + """, pm as (select item_id, i, avg(x) x from pe group by 1, 2),
-wanted as (select item_id, unnest([item_id % 20, (item_id * 7 + 3) % 20]) "label" from benchmark), want as (select distinct * from wanted),
-ow as (select vec_id "label", unnest(embedding)::double w, generate_subscripts(embedding, 1) - 1 i, vec_id * 0.01 b from embeddings where vec_id < 20),
-lg as (select item_id, "label", sum(x * w) + any_value(b) logit from want join pm using (item_id) join ow using ("label", i) group by 1, 2)"""
+_LOGITS = _POOLED + """, pm as (select doc_id, i, s / n x from pe),
+want as (select distinct doc_id, unnest([doc_id % (select n from v), (doc_id * 7 + 3) % (select n from v)]) "label" from documents),
+ow as (select vec_id "label", x w, i, vec_id * 0.01 b from ve),
+lg as (select doc_id, "label", sum(x * w) + any_value(b) logit from want join pm using (doc_id) join ow using ("label", i) group by 1, 2)"""
 
 
 def _logits(i: Inputs) -> DataFrame:
-    wanted = i.benchmark.select("item_id", F.explode(F.expr("array(item_id % 20, (item_id * 7 + 3) % 20)")).alias("label"))
-    out = i.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
-    return infer.logits(_pool(i, "mean"), wanted, out, ["item_id"])
+    n = i.embeddings.count()
+    wanted = i.documents.select("doc_id", F.explode(F.expr(f"array(doc_id % {n}, (doc_id * 7 + 3) % {n})")).alias("label"))
+    out = i.embeddings.select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
+    return infer.logits(_pool(i, "mean"), wanted, out, ["doc_id"])
 
 
-@query(f'with {_LOGITS} select item_id, "label", round(logit, 6) logit from lg')
+@query(f'with {_LOGITS} select doc_id, "label", round(logit, 6) logit from lg')
 def candidate_logits(i: Inputs) -> DataFrame:
-    return _logits(i).select("item_id", "label", F.round("logit", 6).alias("logit"))
+    return _logits(i).select("doc_id", "label", F.round("logit", 6).alias("logit"))
 
 
-@query(f'with {_LOGITS} select round(avg(z - own), 6) loss, count(*) n from (select item_id, ln(sum(exp(logit))) z, max(case when "label" = item_id % 20 then logit end) own from lg group by 1)')
+@query(f'with {_LOGITS} select round(avg(z - own), 6) loss, count(*) n from (select doc_id, max(m) + ln(sum(exp(logit - m))) z, max(case when "label" = doc_id % (select n from v) then logit end) own from (select *, max(logit) over (partition by doc_id) m from lg) group by 1)')
 def softmax_loss(i: Inputs) -> DataFrame:
-    s = _logits(i).withColumn("sense", F.col("item_id") % 20)
-    return metrics.softmax_loss(s, ["item_id"]).select(F.round("loss", 6).alias("loss"), "n")
+    s = _logits(i).withColumn("sense", F.col("doc_id") % i.embeddings.count())
+    return metrics.softmax_loss(s, ["doc_id"]).select(F.round("loss", 6).alias("loss"), "n")
+
+
+_UNION = _LOGITS + """, u as (select distinct doc_id % 8 batch, "label" from want), own as (select doc_id, doc_id % (select n from v) sense from documents),
+lu as (select o.doc_id, sense, u."label", sum(x * w) + any_value(b) logit from own o join u on u.batch = o.doc_id % 8 join pm on pm.doc_id = o.doc_id join ow on ow."label" = u."label" and ow.i = pm.i group by 1, 2, 3)"""
+
+
+@query(f'with {_UNION} select round(avg(z - own), 6) loss, count(*) n from (select doc_id, max(m) + ln(sum(exp(logit - m))) z, max(case when "label" = sense then logit end) own from (select *, max(logit) over (partition by doc_id) m from lu) group by 1)')
+def batch_union_loss(i: Inputs) -> DataFrame:
+    """The loss over the candidates of all examples of a batch, the default of training; documents of one remainder by 8 are a batch."""
+    n = i.embeddings.count()
+    wanted = i.documents.select("doc_id", F.explode(F.expr(f"array(doc_id % {n}, (doc_id * 7 + 3) % {n})")).alias("label"))
+    batches = i.documents.selectExpr("doc_id", "doc_id % 8 batch")
+    out = i.embeddings.select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
+    scored = infer.logits(_pool(i, "mean"), infer.batch_wanted(wanted, batches, ["doc_id"]), out, ["doc_id"])
+    return metrics.softmax_loss(scored.withColumn("sense", F.col("doc_id") % n), ["doc_id"]).select(F.round("loss", 6).alias("loss"), "n")
 
 
 def _predictions(i: Inputs) -> DataFrame:
