@@ -8,6 +8,7 @@ moves is bounded by the rows in use and never by the examples.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -155,12 +156,17 @@ def train_epoch(examples: DataFrame, model: Model, batch_size: int) -> tuple[Mod
     return new, loss
 
 
-def train(examples: DataFrame, params: Params, epochs: int, batch_size: int = 32) -> tuple[Model, list[float]]:
-    """Parameters after so many epochs and the loss of each."""
+def train(examples: DataFrame, params: Params, epochs: int, batch_size: int = 32, snapshots: str | None = None) -> tuple[Model, list[float]]:
+    """Parameters after so many epochs and the loss of each. snapshots: a folder for the model after each epoch, of which the last two stay."""
     data, model, losses = features(examples, params).persist(), Model(params), []
-    for _ in range(epochs):
+    for k in range(epochs):
         model, loss = train_epoch(data, model, batch_size)
         losses.append(loss)
+        if snapshots:
+            save(model, examples.sparkSession, f"{snapshots}/epoch={k}")
+            if k >= 2:
+                old = examples.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{snapshots}/epoch={k - 2}")
+                old.getFileSystem(examples.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
     data.unpersist()
     return model, losses
 
@@ -194,8 +200,33 @@ def predict(examples: DataFrame, model: Model, keep: list[str] | None = None) ->
 
 
 def save(model: Model, spark, path: str) -> None:
-    """Tables embeddings(bucket, vec) and out_layer(label, w, b) below path."""
+    """Tables embeddings(bucket, vec), out_layer(label, w, b), hidden(layer, w) and params below path."""
+    from dataclasses import asdict
+
     e = [(int(k), [float(x) for x in v]) for k, v in model.embeddings.items()]
     o = [(int(k), [float(x) for x in v[:-1]], float(v[-1])) for k, v in model.outputs.items()]
+    h = [(k, [float(x) for x in w.ravel()]) for k, w in enumerate(model.layers)]
     spark.createDataFrame(e, "bucket long, vec array<double>").write.parquet(f"{path}/embeddings")
     spark.createDataFrame(o, "label long, w array<double>, b double").write.parquet(f"{path}/out_layer")
+    spark.createDataFrame(h, "layer int, w array<double>").write.parquet(f"{path}/hidden")
+    spark.createDataFrame([(json.dumps(asdict(model.params) | {"step": model.step}),)], "params string").coalesce(1).write.parquet(f"{path}/params")
+
+
+def load(spark, path: str) -> Model:
+    """The model that save() wrote. For scores of many texts join load_tables() instead: there nothing reaches the driver."""
+    p = json.loads(spark.read.parquet(f"{path}/params").first().params)
+    step = p.pop("step")
+    params = Params(**(p | {"hidden": tuple(p["hidden"])}))
+    e, o = load_tables(spark, path)
+    model = Model(params, step=step)
+    model.embeddings = {r.bucket: np.array(r.vec) for r in e.toLocalIterator()}
+    model.outputs = {r.label: np.array([*r.w, r.b]) for r in o.toLocalIterator()}
+    sizes = [params.size, *params.hidden]
+    rows = {r.layer: r.w for r in spark.read.parquet(f"{path}/hidden").collect()}
+    model.layers = [np.array(rows[k]).reshape(a + 1, b) for k, (a, b) in enumerate(zip(sizes, sizes[1:]))]
+    return model
+
+
+def load_tables(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bucket, vec) and (label, w, b) of a saved model, for pool() and logits()."""
+    return spark.read.parquet(f"{path}/embeddings"), spark.read.parquet(f"{path}/out_layer")

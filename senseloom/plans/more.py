@@ -13,7 +13,7 @@ from ..operators.keep import folder, keep
 from ..sources import dumps, wikitext
 from ..streaming import disambiguate as live
 from .fixtures import Inputs
-from .registry import DISAMBIGUATE, _link_examples, phrases, query, score, urls
+from .registry import DISAMBIGUATE, LOADED, SIZE, _link_examples, features, out_layer, phrases, query, score, urls, vectors, wanted
 
 
 @query(DISAMBIGUATE)
@@ -58,6 +58,33 @@ def xml_pages(i: Inputs) -> DataFrame:
     return dumps.articles(dumps.read_pages(i.spark, at)).select("id", "title", F.md5("text").alias("digest"), "redirect_article_title", "redirect_section_id")
 
 
+_PAGE = "concat('The ', p_name, ' is a [[', p_brand, '|useful thing]] that many people use every day.\\n\\n== Other ==\\n\\nIt is often seen with [[other page#The part|other things]] of ', p_partkey, ' kinds.\\n\\nshort.\\n')"
+
+
+def _simple_pages(i: Inputs) -> DataFrame:
+    return wikitext.parse_pages(i.part.select(F.col("p_partkey").alias("id"), F.expr(_PAGE).alias("text")))
+
+
+@query("""select p_partkey article_id, 0 section_index, 0 paragraph_index, 'The ' || p_name || ' is a useful thing that many people use every day.' "text" from part
+union all select p_partkey, 1, 0, 'It is often seen with other things of ' || p_partkey || ' kinds.' from part""")
+def wikitext_paragraphs(i: Inputs) -> DataFrame:
+    """Paragraphs of pages in simple markup; those that are too short are left out."""
+    p = wikitext.shred(_simple_pages(i))["paragraphs"]
+    return p.select("article_id", F.col("section_index").cast("int").alias("section_index"), F.col("paragraph_index").cast("int").alias("paragraph_index"), "text")
+
+
+@query("""select p_partkey article_id, 0 section_index, len('The ' || p_name || ' is a ')::int start, len('The ' || p_name || ' is a useful thing')::int "end", 'useful thing' link_title, string_split(p_brand, '#')[1] linked_article, string_split(p_brand, '#')[2] linked_section from part
+union all select p_partkey, 1, 22, 34, 'other things', 'Other_page', 'The_part' from part""")
+def wikitext_links(i: Inputs) -> DataFrame:
+    links = wikitext.shred(_simple_pages(i))["links"]
+    return links.select("article_id", "section_index", "start", "end", "link_title", "linked_article", F.coalesce("linked_section", F.lit("")).alias("linked_section"))
+
+
+@query("select count(*) n_pages, (2 * count(*))::bigint n_paragraphs, count(*) n_skipped, count(*) n_pages_with_skips from part")
+def skip_counters(i: Inputs) -> DataFrame:
+    return wikitext.counters(_simple_pages(i))
+
+
 @query()
 def wikitext_parse(i: Inputs) -> DataFrame:
     parsed = wikitext.parse_pages(i.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text")))
@@ -86,6 +113,17 @@ def split_greedy(i: Inputs) -> DataFrame:
     return exa.split_greedy(e, exa.label_components(e))
 
 
+@query(LOADED)
+def loaded_model(i: Inputs) -> DataFrame:
+    """Logits by the tables of a saved model, read back and joined."""
+    at = folder(i.spark)
+    vectors(i).write.parquet(f"{at}/embeddings")
+    out_layer(i).write.parquet(f"{at}/out_layer")
+    e, o = train.load_tables(i.spark, at)
+    found = infer.logits(infer.pool(features(i), e, ["doc_id"], SIZE), wanted(i), o, ["doc_id"])
+    return found.select("doc_id", "label", F.round("logit", 6).alias("logit"))
+
+
 @query()
 def train_model(i: Inputs) -> DataFrame:
     """Predictions of a language classifier for all documents; it is trained on those whose crc32(doc_id as text) is even, the others are held out."""

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import categories as cat
+from ..operators import annotate
 from ..operators import examples as exa
 from ..operators import infer, links, metrics, tokens
 from ..operators import sections as sec
 from ..operators import senses as sen
+from ..operators.keep import keep
 from .fixtures import T2, T3, Inputs, with_views
 
 Query = Callable[[Inputs], DataFrame]
@@ -328,7 +330,7 @@ def possible_senses(i: Inputs) -> DataFrame:
 
 
 def _link_examples(i: Inputs) -> DataFrame:
-    return exa.link_examples(i.links, i.raw_senses, i.sgs, i.groups, i.senses)
+    return keep(exa.link_examples(i.links, i.raw_senses, i.sgs, i.groups, i.senses))
 
 
 @query(with_views("select * from link_examples", "link_examples"))
@@ -356,6 +358,22 @@ def split_owner(i: Inputs) -> DataFrame:
     return exa.split_by_owner(_link_examples(i))
 
 
+def _paragraph_examples(i: Inputs) -> DataFrame:
+    return exa.paragraph_examples(i.sgs, i.senses, i.sections)
+
+
+@query(with_views('select article_id, section_index, paragraph_index, sentence_index, "label" from link_examples union all select article_id, section_index, paragraph_index, sentence_index, "label" from paragraph_examples', "link_examples", "paragraph_examples"))
+def all_examples(i: Inputs) -> DataFrame:
+    return exa.all_examples(_link_examples(i), _paragraph_examples(i))
+
+
+@query(with_views("""select article_id, section_index, paragraph_index, sentence_index, "label" sense, dataset, sgs.sense_group, p possible_senses
+from split join sgs on sgs.id = split."label" join (select sense_group, string_agg(id, ',' order by id) p from sgs group by 1) g on g.sense_group = sgs.sense_group""", "split"))
+def export_examples(i: Inputs) -> DataFrame:
+    rows = exa.export_rows(exa.split_by_owner(_link_examples(i)), i.sgs)
+    return rows.withColumn("possible_senses", F.array_join(F.col("possible_senses").cast("array<string>"), ","))
+
+
 def _doc_sentences(i: Inputs) -> DataFrame:
     """Sentences of documents, as those of article doc_id, section 0, paragraph 0."""
     s = tokens.sentences(tokens.tokens(i.documents, ["doc_id"]), ["doc_id"])
@@ -466,24 +484,48 @@ def disambiguate(i: Inputs) -> DataFrame:
     return infer.disambiguate(i.documents, ["doc_id"], ph.select("phrase", "label"), score, urls(i, ph))
 
 
+_LEXICON = "lx as (select w form, case len(w) % 3 when 0 then 'NN' when 1 then 'VB' else 'DT' end pos, w || '_' lemma from (select distinct unnest(string_split(lower(text), ' ')) w from benchmark where text is not null))"
+
+
+def _lexicon(i: Inputs) -> DataFrame:
+    w = i.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("form")).distinct()
+    return w.selectExpr("form", "case length(form) % 3 when 0 then 'NN' when 1 then 'VB' else 'DT' end pos", "concat(form, '_') lemma")
+
+
+@query(_TOKENS + f""", {_LEXICON} select doc_id, sentence::bigint sentence, tok, start, "end", "value", pos, lemma from sent left join lx on form = lower("value")""")
+def annotated_tokens(i: Inputs) -> DataFrame:
+    t = annotate.annotate(i.documents, ["doc_id"], _lexicon(i))
+    return t.select("doc_id", F.col("sentence").cast("bigint").alias("sentence"), "tok", "start", "end", "value", "pos", "lemma")
+
+
+@query(_TOKENS + f""", {_LEXICON}, {_PHRASES}, tg as (select tok.*, pos from tok left join lx on form = lower("value")),
+sp as (select doc_id, start, "end", lower("value") phrase, pos p1, null p2 from tg union all
+select doc_id, start, e2, lower("value" || b2 || v2), pos, q2 from (select *, lead("value") over w v2, lead("before") over w b2, lead("end") over w e2, lead(pos) over w q2 from tg window w as (partition by doc_id order by tok)) where v2 is not null)
+select doc_id, start, "end", phrase from sp where phrase in (select phrase from ph) and (p1 is null or p1 = 'NN' or p2 = 'NN')""")
+def tagged_spans(i: Inputs) -> DataFrame:
+    """Phrases in tagged text: those that no noun is part of are left out."""
+    t = annotate.annotate(i.documents, ["doc_id"], _lexicon(i))
+    return infer.match(infer.spans(t, ["doc_id"], 2), phrases(i).select("phrase").distinct()).select("doc_id", "start", "end", "phrase")
+
+
 # ---- model arithmetic and evaluation
 
-_SIZE = 64
+SIZE = 64
 _FEATURES = "v as (select count(*) n from embeddings), f as (select doc_id, ('0x' || substr(md5(w), 1, 15))::bigint % (select n from v) bucket, count(*) k from (select doc_id, unnest(string_split(coalesce(text, ''), ' ')) w from documents) group by 1, 2)"
 _POOLED = _FEATURES + ", ve as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings), pe as (select doc_id, i, sum(x * k) s, sum(k) n from f join ve on vec_id = bucket group by 1, 2)"
 
 
-def _features(i: Inputs) -> DataFrame:
+def features(i: Inputs) -> DataFrame:
     w = i.documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("t"))
     return w.select("doc_id", text.bucket(F.col("t"), i.embeddings.count()).alias("bucket"))
 
 
-def _vectors(i: Inputs) -> DataFrame:
+def vectors(i: Inputs) -> DataFrame:
     return i.embeddings.select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vec"))
 
 
 def _pool(i: Inputs, how: str) -> DataFrame:
-    return infer.pool(_features(i), _vectors(i), ["doc_id"], _SIZE, how)
+    return infer.pool(features(i), vectors(i), ["doc_id"], SIZE, how)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -506,14 +548,24 @@ ow as (select vec_id "label", x w, i, vec_id * 0.01 b from ve),
 lg as (select doc_id, "label", sum(x * w) + any_value(b) logit from want join pm using (doc_id) join ow using ("label", i) group by 1, 2)"""
 
 
-def _logits(i: Inputs) -> DataFrame:
+def wanted(i: Inputs) -> DataFrame:
+    """Two candidates of each document."""
     n = i.embeddings.count()
-    wanted = i.documents.select("doc_id", F.explode(F.expr(f"array(doc_id % {n}, (doc_id * 7 + 3) % {n})")).alias("label"))
-    out = i.embeddings.select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
-    return infer.logits(_pool(i, "mean"), wanted, out, ["doc_id"])
+    return i.documents.select("doc_id", F.explode(F.expr(f"array(doc_id % {n}, (doc_id * 7 + 3) % {n})")).alias("label"))
+
+
+def out_layer(i: Inputs) -> DataFrame:
+    return i.embeddings.select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
 
 
-@query(f'with {_LOGITS} select doc_id, "label", round(logit, 6) logit from lg')
+def _logits(i: Inputs) -> DataFrame:
+    return infer.logits(_pool(i, "mean"), wanted(i), out_layer(i), ["doc_id"])
+
+
+LOADED = f'with {_LOGITS} select doc_id, "label", round(logit, 6) logit from lg'
+
+
+@query(LOADED)
 def candidate_logits(i: Inputs) -> DataFrame:
     return _logits(i).select("doc_id", "label", F.round("logit", 6).alias("logit"))
 
@@ -531,12 +583,9 @@ lu as (select o.doc_id, sense, u."label", sum(x * w) + any_value(b) logit from o
 @query(f'with {_UNION} select round(avg(z - own), 6) loss, count(*) n from (select doc_id, max(m) + ln(sum(exp(logit - m))) z, max(case when "label" = sense then logit end) own from (select *, max(logit) over (partition by doc_id) m from lu) group by 1)')
 def batch_union_loss(i: Inputs) -> DataFrame:
     """The loss over the candidates of all examples of a batch, the default of training; documents of one remainder by 8 are a batch."""
-    n = i.embeddings.count()
-    wanted = i.documents.select("doc_id", F.explode(F.expr(f"array(doc_id % {n}, (doc_id * 7 + 3) % {n})")).alias("label"))
-    batches = i.documents.selectExpr("doc_id", "doc_id % 8 batch")
-    out = i.embeddings.select(F.col("vec_id").alias("label"), F.col("embedding").alias("w"), (F.col("vec_id") * 0.01).alias("b"))
-    scored = infer.logits(_pool(i, "mean"), infer.batch_wanted(wanted, batches, ["doc_id"]), out, ["doc_id"])
-    return metrics.softmax_loss(scored.withColumn("sense", F.col("doc_id") % n), ["doc_id"]).select(F.round("loss", 6).alias("loss"), "n")
+    union = infer.batch_wanted(wanted(i), i.documents.selectExpr("doc_id", "doc_id % 8 batch"), ["doc_id"])
+    scored = infer.logits(_pool(i, "mean"), union, out_layer(i), ["doc_id"]).withColumn("sense", F.col("doc_id") % i.embeddings.count())
+    return metrics.softmax_loss(scored, ["doc_id"]).select(F.round("loss", 6).alias("loss"), "n")
 
 
 def _predictions(i: Inputs) -> DataFrame:

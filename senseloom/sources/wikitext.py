@@ -10,6 +10,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import RESIDUE
 
@@ -373,3 +374,10 @@ def shred(parsed: DataFrame) -> dict[str, DataFrame]:
         "paragraphs": p.selectExpr("article_id", "section_index", "paragraph_index", "p.text text"),
         "links": p.selectExpr("article_id", "section_index", "paragraph_index", "inline(p.links)").withColumnRenamed("title", "link_title"),
     }
+
+
+def counters(parsed: DataFrame) -> DataFrame:
+    """One row of n_pages, n_paragraphs kept, n_skipped and n_pages_with_skips of parse_pages()."""
+    kept = F.aggregate("sections", F.lit(0).cast("bigint"), lambda a, s: a + F.size(s["paragraphs"]))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return parsed.agg(F.count("*").alias("n_pages"), total(kept).alias("n_paragraphs"), total(F.col("skipped")).alias("n_skipped"), F.count_if(F.col("skipped") > 0).alias("n_pages_with_skips"))
