@@ -111,17 +111,18 @@ def connected_components(edges: DataFrame, tables: Tables, most_rounds: int = 60
     Each round takes the smallest label among the neighbours (map-side minimum,
     so a hub's edges are combined before the shuffle) and then jumps to the
     label's label. Labels are written to the shared folder after each round.
-    Null ends and self-loops add nothing. Nodes without edges aren't returned.
+    Null ends and self-loops add nothing. Nodes without edges aren't returned. All joins are merges by hint: labels grow with the
+    data and are never broadcast.
     """
     both = edges.where("a is not null and b is not null and a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
     e = tables.write(both)
     e = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = tables.write(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     for _ in range(most_rounds):
-        near = e.join(labels, e.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
+        near = e.join(labels.hint("merge"), e.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
+        step = labels.join(near.hint("merge"), labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         up = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = tables.write(step.join(up, "c", "left").select("node", "was", F.least("c", F.coalesce("cc", "c")).alias("component")))
+        new = tables.write(step.join(up.hint("merge"), "c", "left").select("node", "was", F.least("c", F.coalesce("cc", "c")).alias("component")))
         tables.drop(labels)
         moved = new.where("was <> component").limit(1).count()
         labels = new.drop("was")

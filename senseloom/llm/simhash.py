@@ -87,7 +87,7 @@ def links(prints: DataFrame, tables: Tables) -> DataFrame:
     met = emitted.withColumn("n", F.count("*").over(Window.partitionBy("at"))).where("n > 1")
     members = tables.write(met)
     few = members.where(F.col("n") <= PAIRED).select("at", "print")
-    pairs = few.alias("x").join(few.alias("y"), "at").where("x.print < y.print").selectExpr("x.print a", "y.print b")
+    pairs = few.alias("x").join(few.alias("y").hint("merge"), "at").where("x.print < y.print").selectExpr("x.print a", "y.print b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     close = pairs.where(near)
 
@@ -99,7 +99,7 @@ def links(prints: DataFrame, tables: Tables) -> DataFrame:
     large = hot.select("print", F.explode(F.expr(f"transform({pairs_of_bits}, f -> print ^ f)")).alias("at"), F.lit(False).alias("near"))
     ball = small.unionByName(large)
     centre = small.groupBy("at").agg(F.min("print").alias("a"))
-    starred = ball.join(centre, "at").where("a <> print").selectExpr("a", "print b")
+    starred = ball.join(centre.hint("merge"), "at").where("a <> print").selectExpr("a", "print b")
     return close.unionByName(starred).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
 
@@ -110,14 +110,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     of at most three differing bits. Equal fingerprints (copies) are one node, made by a
     pre-aggregated minimum, so a group of copies of any size costs one row; all null and empty
     texts have fingerprint zero and are linked like any other. Repeated rows give repeated rows. A null
-    doc_id is linked but never a component's id, unless it has no other. Other columns aren't looked at.
+    doc_id is linked but never a component's id, unless it has no other. Other columns aren't looked at. Texts of any length are
+    hashed 65,536 shingles at a time. An empty table gives no rows. Nothing is broadcast; a fingerprint that a third of all rows share is one node, and its rows are
+    divided by the engine's skew join where they get their component.
     """
     tables = Tables(docs.sparkSession)
     prints = tables.write(fingerprints(docs, width, seed))
     nodes = tables.write(prints.groupBy("print").agg(F.min("doc_id").alias("least_doc")))
     parts = connected_components(links(nodes.select("print"), tables), tables)
-    named = nodes.join(parts, nodes.print == parts.node, "left").select("print", "least_doc", F.coalesce("component", "print").alias("component"))
+    named = nodes.join(parts.hint("merge"), nodes.print == parts.node, "left").select("print", "least_doc", F.coalesce("component", "print").alias("component"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    ids = named.join(least, "component").select("print", "component_id")
-    return prints.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = named.join(least.hint("merge"), "component").select("print", "component_id")
+    return prints.join(ids.hint("merge"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
