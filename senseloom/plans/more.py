@@ -12,7 +12,7 @@ from ..operators import infer, train
 from ..operators.keep import folder, keep
 from ..sources import dumps, wikitext
 from ..streaming import disambiguate as live
-from .fixtures import Inputs
+from .fixtures import Inputs, with_views
 from .registry import DISAMBIGUATE, LOADED, SIZE, _link_examples, features, out_layer, phrases, query, score, urls, vectors, wanted
 
 
@@ -107,6 +107,15 @@ def rest_requests(i: Inputs) -> DataFrame:
     return live.requests(bodies).groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum("start").alias("starts"), F.array_join(F.array_sort(F.collect_list("value")), ",").alias("roles"))
 
 
+@query(with_views("""select article_id, section_index, paragraph_index, sentence_index, "label", case when rn <= q then 1 when rn <= 2 * q then 2 else 0 end dataset
+from (select *, row_number() over (partition by "label" order by k) rn, round_even(count(*) over (partition by "label") * 0.15, 0) q
+      from (select article_id, section_index, paragraph_index, sentence_index, max("label") "label", any_value(k) k from keyed group by 1, 2, 3, 4))""", "keyed"))
+def split_greedy_single(i: Inputs) -> DataFrame:
+    """The greedy division where each place has one label, its largest."""
+    e = keep(_link_examples(i).groupBy("article_id", "section_index", "paragraph_index", "sentence_index").agg(F.max("label").alias("label")))
+    return exa.split_greedy(e, exa.label_components(e))
+
+
 @query()
 def split_greedy(i: Inputs) -> DataFrame:
     e = keep(_link_examples(i))
