@@ -43,6 +43,38 @@ def sql_dump_scan(i: Inputs) -> DataFrame:
     return dumps.page_table(i.spark.read.text(at))
 
 
+@query("""select l_orderkey article_id, l_linenumber section_index, 1 paragraph_index, l_suppkey % 3 sentence_index, 2 begin, 2 + len(p_name) "end", replace(p_name, ' ', '_') linked_article,
+case when l_suppkey % 2 = 0 then 'The_part' end linked_section, p_name link_title from lineitem join part on p_partkey = l_partkey""")
+def links_tsv(i: Inputs) -> DataFrame:
+    """Links through a tab-separated table."""
+    n = lambda c: F.expr(c).cast("long")
+    t = i.lineitem.join(i.part, i.lineitem.l_partkey == i.part.p_partkey).select(
+        F.col("l_orderkey").alias("article_id"), n("l_linenumber").alias("section_index"), n("1").alias("paragraph_index"), n("l_suppkey % 3").alias("sentence_index"), n("2").alias("begin"), n("2 + length(p_name)").alias("end"),
+        F.translate("p_name", " ", "_").alias("linked_article"), F.expr("if(l_suppkey % 2 = 0, 'The_part', null)").alias("linked_section"), F.col("p_name").alias("link_title"),
+    )
+    at = folder(i.spark)
+    dumps.write_tsv(t, at)
+    return dumps.read_tsv(i.spark, at, dumps.LINKS).withColumn("linked_section", F.nullif("linked_section", F.lit("")))
+
+
+@query("select l_orderkey article_id, count(distinct l_suppkey % 3) n, min(l_suppkey % 3) first, max(l_suppkey % 3) last from lineitem group by 1 having min(l_suppkey % 3) <> 0 or max(l_suppkey % 3) <> count(distinct l_suppkey % 3) - 1")
+def sentence_gaps(i: Inputs) -> DataFrame:
+    return dumps.sentence_gaps(i.lineitem.selectExpr("l_orderkey article_id", "0L section_index", "0L paragraph_index", "l_suppkey % 3 sentence_index")).drop("section_index", "paragraph_index")
+
+
+@query("""with w as (select doc_id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) n from documents),
+ex as (select distinct l_orderkey, l_partkey % 10 "label" from lineitem)
+select doc_id article_id, "label" sense, n n_tokens, "label" % 3 dataset from ex join w on doc_id = l_orderkey where n > 0 and "label" <> 9""")
+def example_files(i: Inputs) -> DataFrame:
+    """Examples through files by dataset; those without tokens or candidates are left out."""
+    w = i.documents.selectExpr("doc_id article_id", "filter(split(coalesce(text, ''), ' '), x -> x <> '') tokens")
+    ex = i.lineitem.selectExpr("l_orderkey article_id", "l_partkey % 10 sense").distinct()
+    rows = ex.join(w, "article_id").selectExpr("article_id", "sense", "tokens", "if(sense = 9, array(), array(sense, (sense + 1) % 10)) possible_senses", "sense % 3 dataset")
+    at = folder(i.spark)
+    exa.write_examples(rows, at)
+    return exa.read_examples(i.spark, at).selectExpr("article_id", "sense", "cast(size(tokens) as bigint) n_tokens", "cast(dataset as bigint) dataset")
+
+
 _MOVED = "page_id % 6 = 0"
 
 

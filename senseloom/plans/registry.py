@@ -93,6 +93,12 @@ def paragraph_split(i: Inputs) -> DataFrame:
     return tokens.paragraphs(i.documents)
 
 
+@query(r"""select doc_id, p "text", par_idx from (select doc_id, unnest(ps) p, generate_subscripts(ps, 1) - 1 par_idx from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\s*\n\s*\n\s*') ps from documents)) where p <> ''""")
+def paragraph_blank_lines(i: Inputs) -> DataFrame:
+    """Paragraphs between blank lines, white space around these included."""
+    return tokens.paragraphs(i.documents, r"\s*\n\s*\n\s*").select("doc_id", "par_idx", "text")
+
+
 _TOKENS = f"""with p as (select doc_id, unnest(ps) v, generate_subscripts(ps, 1) pos from (select doc_id, {_PIECES("text")} ps from documents)),
 t as (select doc_id, pos, v, sum(len(v)) over (partition by doc_id order by pos)::bigint e, lag(v) over (partition by doc_id order by pos) b, lead(v) over (partition by doc_id order by pos) a from p),
 tok as (select doc_id, row_number() over (partition by doc_id order by pos) tok, e - len(v) start, e "end", v "value", case when b ~ '\\s+' then b else '' end "before", case when a ~ '\\s+' then a else '' end "after" from t where not v ~ '\\s+'),

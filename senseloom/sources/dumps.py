@@ -89,6 +89,13 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*key).agg(F.array_sort(F.collect_list(t)).alias("tokens"))
 
 
+def sentence_gaps(sentences: DataFrame) -> DataFrame:
+    """(place, n, first, last) of paragraphs whose sentence indexes aren't 0, 1, ... without gaps; of sound token files there are none."""
+    key = ["article_id", "section_index", "paragraph_index"]
+    by = sentences.groupBy(*key).agg(F.countDistinct("sentence_index").alias("n"), F.min("sentence_index").alias("first"), F.max("sentence_index").alias("last"))
+    return by.where("first <> 0 or last <> n - 1")
+
+
 @dataclass(frozen=True)
 class Descriptor:
     """How examples are made from tokens."""
