@@ -165,7 +165,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         if held[0]:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without any, are many partitions' if need be: beginnings of texts stand in the order of the texts
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long")
     made.write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(made.schema).parquet(f"{folder}/manifest")
