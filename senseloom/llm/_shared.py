@@ -101,6 +101,13 @@ class Tables:
         out._senseloom_path = path
         return out
 
+    def replace(self, old: DataFrame, df: DataFrame) -> DataFrame:
+        """df written; what it takes the place of, if that was a table, is deleted."""
+        new = self.write(df)
+        if hasattr(old, "_senseloom_path"):
+            self.drop(old)
+        return new
+
     def drop(self, df: DataFrame) -> None:
         delete(self.spark, df._senseloom_path)
 

@@ -353,17 +353,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     while True:
         if attempt < tries and largest > 1:
             met = tables.write(forest(nodes, orders, 1 + attempt, parts))
-            graph = tables.write(best(graph.unionByName(met), lists))
-            known = tables.write(known.unionByName(linked(met, threshold)).distinct())
+            graph = tables.replace(graph, best(graph.unionByName(met), lists))
+            known = tables.replace(known, known.unionByName(linked(met, threshold)).distinct())
+            tables.drop(met)
             links = known.count()
             for k in range(most_rounds):
                 state = tables.write(ends(graph, lists, threshold))
                 met = tables.write(descend(graph, nodes, state.select("node", "low"), threshold, parts))
-                lists = tables.write(state.select("node", F.when(F.col("full"), F.least(2 * F.col("k"), F.lit(DENSE))).otherwise(F.col("k")).alias("k")))
-                graph = tables.write(best(graph.unionByName(met), lists))
-                known = tables.write(known.unionByName(linked(met, threshold)).distinct())
-                links, before = known.count(), links
+                lists = tables.replace(lists, state.select("node", F.when(F.col("full"), F.least(2 * F.col("k"), F.lit(DENSE))).otherwise(F.col("k")).alias("k")))
+                graph = tables.replace(graph, best(graph.unionByName(met), lists))
+                known = tables.replace(known, known.unionByName(linked(met, threshold)).distinct())
                 tables.drop(met)
+                tables.drop(state)
+                links, before = known.count(), links
                 if k and links - before <= 0.001 * links:
                     break
         components, counted, whole = _settle(nodes, graph, lists, known, exact, threshold, tables, parts)

@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from senseloom.llm import decontam, lm_score, nn_descent, packing, pii, preference, quality, queries, simhash, token_count, token_files
 from senseloom.llm._shared import Tables, connected_components
@@ -480,6 +481,54 @@ def test_scores(which, odd, docs):
         assert total(got) > total(other)
 
 
+def plain_quality(m, text):
+    """The score by loops over passages, bytes and units."""
+    raw = (text or "").encode()
+    z, weights, units = np.zeros(quality.HIDDEN), [], []
+    for lo in range(0, max(1, len(raw)), quality.PASSAGE):
+        own = raw[lo : lo + quality.PASSAGE]
+        x = np.zeros(quality.WIDTH)
+        runs = set()
+        for k, b in enumerate(own, lo):
+            x[b] += 1
+            if k + 1 < len(raw):
+                x[256 + (b * 31 + raw[k + 1] & quality.PAIRS - 1)] += 1
+            if k + 8 <= len(raw):
+                runs.add(int.from_bytes(raw[k : k + 8], "big") * 0x9E3779B97F4A7C15 % 2**64 >> 54)
+        n = len(own)
+        x = np.sqrt(x / max(n, 1))
+        x[-4:] = [3 * len(runs) / max(quality.RUNS * (1 - math.exp(-n / quality.RUNS)), 1), n / quality.PASSAGE, n == 0, 1]
+        h = np.array([math.tanh(sum(a * b for a, b in zip(x, m.w[:, j]))) for j in range(quality.HIDDEN)])
+        gate = [math.tanh(h @ m.v[:, j]) / (1 + math.exp(-(h @ m.u[:, j]))) * m.a[j] for j in range(quality.GATE)]
+        weights.append(math.exp(sum(gate)))
+        units.append(h)
+    for w, h in zip(weights, units):
+        z += w / sum(weights) * h
+    return 1 / (1 + math.exp(-(z @ m.c[:-1] + m.c[-1])))
+
+
+def test_quality_by_loops(docs, monkeypatch):
+    g = np.random.default_rng(3)
+    m = quality.Model(*(g.normal(0, 0.5, s) for s in ((quality.WIDTH, quality.HIDDEN), (quality.HIDDEN, quality.GATE), (quality.HIDDEN, quality.GATE), (quality.GATE,), (quality.HIDDEN + 1,))))
+    texts = ["", "a", "é🙂" * 5, "x" * 1023, "y" * 1024, "z1" * 520, *(x for _, x in plain(docs)[:6])]
+    want = [plain_quality(m, x) for x in texts]
+    assert np.allclose(m.score(texts), want, atol=2e-5)
+    monkeypatch.setattr(quality, "SEGMENT", 2)  # by segments of two passages
+    long = [x * 3 for x in texts if x]
+    assert np.allclose(m.score(long), [plain_quality(m, x) for x in long], atol=2e-5)
+
+
+def test_quality_learns_from_all_passages(spark):
+    """What tells the labels apart stands in the last of a hundred passages; rows beyond the bounds of the sample are left out, not cut."""
+    filler = "plain words of no account " * 4000
+    rows = [(k, filler + ("#@!$%^&*" * 120 if k % 2 else "")) for k in range(40)] + [(100, "x" * (1 << 20) + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    model = quality.learn(docs, labels, F.lit(True), label_bytes=3 << 20)
+    assert all((model.score([x])[0] >= 0.5) == (k % 2 == 1) for k, x in rows[:40])
+    assert quality.learn(docs.where("doc_id = 100"), labels, F.lit(True)) is None
+
+
 def test_quality(spark, docs, odd):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     more = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
