@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session has a bound of its own: both sides hold a batch or two of each task.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the session was started elsewhere."""
+    """Let Python workers import this package when the session was started elsewhere, and get texts in batches of bounded size."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(bound):
+        spark.conf.set(bound, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
