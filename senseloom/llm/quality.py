@@ -143,7 +143,7 @@ def fit(x: np.ndarray, n: np.ndarray, label: np.ndarray, weight: np.ndarray, epo
         order = g.permutation(len(n))
         for lo in range(0, len(n), 128):
             at = order[lo : lo + 128]
-            xs = np.concatenate([x[first[k] : first[k] + n[k]] for k in at])
+            xs = np.concatenate([x[first[k] : first[k] + n[k]] for k in at]).astype(np.float32)
             f = m.forward(xs, n[at])
             dy = ((f["y"] - label[at]) * weight[at] / weight[at].sum()).astype(np.float32)
             dc = np.concatenate([f["z"].T @ dy, [dy.sum()]])
@@ -197,10 +197,12 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, per_label: int =
     rows.sort(key=lambda r: r.doc_id)
     if not rows:
         return None
-    xs = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
     label = np.array([r.quality for r in rows], np.float32)
+    n = np.array([len(r.x) // (2 * WIDTH) for r in rows])
+    x = np.concatenate([np.frombuffer(r.x, np.float16).reshape(-1, WIDTH) for r in rows])  # stays in half precision but for the batch at hand
+    del rows
     share = {q: totals[q] / max(1, int((label == q).sum())) for q in totals}
-    return fit(np.concatenate(xs), np.array([len(x) for x in xs]), label, np.array([share[int(q)] for q in label], np.float32))
+    return fit(x, n, label, np.array([share[int(q)] for q in label], np.float32))
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
