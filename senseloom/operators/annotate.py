@@ -55,6 +55,6 @@ def annotate(docs: DataFrame, key: list[str], lexicon: DataFrame | None = None,
     """Token rows with sentence, pos and lemma: of an annotator if one is given, else of the tokens of Spark's own with what the lexicon knows."""
     if make is not None:
         return by_annotator(docs, key, make, column)
-    rows = tokens.sentences(tokens.tokens(docs, key, column), key)
+    rows = tokens.tokens(docs, key, column, sentence=True)
     none = F.lit(None).cast("string")
     return by_lexicon(rows, lexicon) if lexicon is not None else rows.withColumn("pos", none).withColumn("lemma", none)

@@ -12,3 +12,51 @@ def test_tables_of_pages_are_not_broadcast(spark, sf, query):
     from senseloom.plans import registry
 
     assert "Broadcast" not in plan(registry.queries()[query](spark, sf))
+
+
+ODD = ["  Hello, World!  It's 3.5.\nNew\n\nline 🙂 é x", "", None, " \t\n", "one", "a.b. ²½ 漢字カナ é _x_ y", "\x0b\x0c\rend. ", "z" * 3000 + " 9"]
+
+
+def test_tokens_are_those_of_the_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from senseloom.functions.text import LOSSLESS
+    from senseloom.operators import tokens
+
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").coalesce(1)
+    pieces = {r.doc_id: r.p for r in df.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LOSSLESS), F.lit(0)).alias("p")).collect()}
+    got = tokens.tokens(df, ["doc_id"], sentence=True).collect()
+    want, gap = [], lambda p: p.strip("\t\n\x0b\x0c\r ") == ""
+    for d, ps in pieces.items():
+        at, tok, sentence = 0, 0, 0
+        for i, p in enumerate(ps):
+            if not gap(p):
+                tok += 1
+                near = [ps[j] if 0 <= j < len(ps) and gap(ps[j]) else "" for j in (i - 1, i + 1)]
+                want.append((d, tok, at, at + len(p), p, *near, sentence))
+                sentence += p in ".!?" and near[1] != ""
+            at += len(p)
+    assert sorted(map(tuple, got)) == sorted(want)
+    old = tokens.sentences(tokens.tokens(df, ["doc_id"]), ["doc_id"]).select("doc_id", "tok", "sentence")
+    assert sorted(map(tuple, old.collect())) == sorted((w[0], w[1], w[-1]) for w in want)
+    s = {(r.doc_id, r.sentence): (r.start, r.end, r.tokens) for r in tokens.sentence_rows(df, ["doc_id"]).collect()}
+    assert sum(len(x[2]) for x in s.values()) == len(want) and s[0, 0] == (2, 15, ["Hello", ",", "World", "!"])
+    n = {r.doc_id: r.n for r in df.select("doc_id", tokens.count_tokens(F.col("text")).alias("n")).collect() if r.n}
+    assert n == {d: sum(w[0] == d for w in want) for d in {w[0] for w in want}}
+
+
+def test_spans_with_tags_are_those_of_tagged_tokens(spark):
+    from senseloom.operators import annotate, infer
+
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").coalesce(1)
+    lexicon = spark.createDataFrame([("hello", "NN", "a"), (",", "VB", "b"), ("world", "DT", None)], "form string, pos string, lemma string")
+    want = infer.spans(annotate.annotate(df, ["doc_id"], lexicon), ["doc_id"], 3)
+    got = infer.text_spans(df, ["doc_id"], 3, lexicon=lexicon)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+@pytest.mark.parametrize("query", ["tokenize_lossless", "annotated_tokens", "min_tokens", "reconstruct_text", "prepare_tokens", "token_join", "sentence_split"])
+def test_tokens_are_not_shuffled(spark, sf, query):
+    from senseloom.plans import registry
+
+    assert "hashpartitioning(doc_id" not in plan(registry.queries()[query](spark, sf)).replace("#", " ").replace("  ", " ").replace("doc_id ", "doc_id")
