@@ -60,3 +60,38 @@ def test_tokens_are_not_shuffled(spark, sf, query):
     from senseloom.plans import registry
 
     assert "hashpartitioning(doc_id" not in plan(registry.queries()[query](spark, sf)).replace("#", " ").replace("  ", " ").replace("doc_id ", "doc_id")
+
+
+def test_greedy_division_streams(spark):
+    """One component of many places equals the division by plain loops, also where Arrow batches end within a label."""
+    from senseloom.operators import examples
+
+    rows = [(a, 0, p, None, (a * 7 + p * p) % 11) for a in range(300) for p in range(4)]
+    e = spark.createDataFrame([*rows, *((a, 0, 0, None, 20) for a in range(300))], "article_id long, section_index long, paragraph_index long, sentence_index long, label long").distinct()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = examples.split_greedy(e, examples.label_components(e))
+        got = {(r.article_id, r.paragraph_index, r.label): r.dataset for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan(df)
+    by: dict[int, list] = {}
+    for r in e.withColumn("k", examples._key_hash()).collect():
+        by.setdefault(r.label, []).append((r.k, r.article_id, r.paragraph_index))
+    placed, want = {}, {}
+    for label in sorted(by, reverse=True):
+        q, have = round(len(by[label]) * 0.15), [0, 0, 0]
+        for k, a, p in sorted(by[label]):
+            if k not in placed:
+                placed[k] = next((d for d in (1, 2) if have[d] < q), 0)
+            have[placed[k]] += 1
+            want[a, p, label] = placed[k]
+    assert got == want
+
+
+def test_lists_of_a_group_meet_examples_last(spark):
+    from senseloom.operators import examples
+
+    e = spark.createDataFrame([(1, 0, 0, 2, 7, 1), (1, 0, 0, 3, 8, 0)], "article_id long, section_index long, paragraph_index long, sentence_index long, label long, dataset int")
+    sgs = spark.createDataFrame([(7, 1, 3), (8, 1, 4), (9, 2, 4)], "id long, sense_group long, sense long")
+    assert {tuple(r) for r in examples.export_rows(e, sgs, True).collect()} == {(7, 1, 0, 0, 2, 1, 1, "7,8"), (8, 1, 0, 0, 3, 0, 1, "7,8")}
