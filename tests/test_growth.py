@@ -95,3 +95,16 @@ def test_lists_of_a_group_meet_examples_last(spark):
     e = spark.createDataFrame([(1, 0, 0, 2, 7, 1), (1, 0, 0, 3, 8, 0)], "article_id long, section_index long, paragraph_index long, sentence_index long, label long, dataset int")
     sgs = spark.createDataFrame([(7, 1, 3), (8, 1, 4), (9, 2, 4)], "id long, sense_group long, sense long")
     assert {tuple(r) for r in examples.export_rows(e, sgs, True).collect()} == {(7, 1, 0, 0, 2, 1, 1, "7,8"), (8, 1, 0, 0, 3, 0, 1, "7,8")}
+
+
+def test_vectors_go_to_chunks_of_rows(spark, monkeypatch):
+    from senseloom.operators import infer
+
+    monkeypatch.setattr(infer, "POOLED", 3)
+    f = spark.createDataFrame([(d, (d * k) % 5) for d in range(10) for k in range(1, 200)], "id long, bucket long")
+    v = spark.createDataFrame([(b, [float(b), 1.0]) for b in range(4)], "bucket long, vec array<double>")
+    df = infer.pool(f, v, ["id"], 2)
+    for r in df.collect():
+        known = [b for k in range(1, 200) if (b := (r.id * k) % 5) < 4]
+        assert abs(r.x[0] - sum(known) / len(known)) < 1e-9 and abs(r.x[1] - 1) < 1e-9
+    assert df.count() == 10 and "Join" not in plan(df)
