@@ -108,3 +108,67 @@ def test_vectors_go_to_chunks_of_rows(spark, monkeypatch):
         known = [b for k in range(1, 200) if (b := (r.id * k) % 5) < 4]
         assert abs(r.x[0] - sum(known) / len(known)) < 1e-9 and abs(r.x[1] - 1) < 1e-9
     assert df.count() == 10 and "Join" not in plan(df)
+
+
+def test_pooled_words_are_not_shuffled(spark, monkeypatch):
+    """Rows of buckets sum up as plain loops do: repeated keys and buckets, unknown and null ones, vectors in several blocks."""
+    from senseloom.operators import infer
+
+    monkeypatch.setattr(infer, "POOLED", 2)
+    lists = {0: [1, 1, 2, 99, None], 1: [], 2: None, 3: [50], 4: [3] * 9 + [7], None: [2, 3]}
+    rows = [*lists.items(), (0, [7]), (None, [1])]
+    f = spark.createDataFrame(rows, "id long, buckets array<long>").repartition(3)
+    vecs = [(b, [float(b), b * b / 3]) for b in (1, 2, 3, 7)] + [(7, [1.0, 1.0]), (5, None)]
+    v = spark.createDataFrame(vecs, "bucket long, vec array<double>")
+    df = infer.pool(f, v, ["id"], 2, "sqrtn")
+    want = {}
+    for k, bs in rows:
+        want.setdefault(k, []).extend(x for b in bs or [] for c, x in vecs if b == c and x)
+    got = {r.id: r.x for r in df.collect()}
+    assert got.keys() == {k for k, x in want.items() if x}
+    for k, x in got.items():
+        assert all(abs(y - sum(c) / len(want[k]) ** 0.5) < 1e-9 for y, c in zip(x, zip(*want[k])))
+    assert "Join" not in plan(df) and "Generate" not in plan(df)
+
+
+@pytest.mark.parametrize("step", [0.0, 0.3])
+def test_losses_over_a_batch_make_no_pairs(spark, monkeypatch, step):
+    from math import exp, log
+
+    from pyspark.sql import functions as F
+
+    from senseloom.operators import infer
+
+    monkeypatch.setattr(infer, "POOLED", 50)
+    monkeypatch.setattr(infer, "keep", kept := Kept())
+    ids, labels = range(400), range(1000)
+    x = {i: [((i * 7) % 11 - 5) / 5, ((i * 3) % 13 - 6) / 6] for i in ids}
+    w = {k: ([((k * 5) % 17 - 8) / 8, ((k * 9) % 7 - 3) / 3], k * step) for k in labels}
+    pooled = spark.createDataFrame(list(x.items()), "id long, x array<double>")
+    out = spark.createDataFrame([(k, *v) for k, v in w.items()], "label long, w array<double>, b double")
+    sense = lambda i: i * 3 % 1000 if i != 7 else 9999
+    examples = spark.createDataFrame([(i, i % 2 if i != 8 else None, sense(i)) for i in ids], "id long, batch int, sense long")
+    wanted = {i: {i * 3 % 1000, (i * 7 + 1) % 1000} for i in ids}
+    df = infer.batch_losses(pooled, examples, spark.createDataFrame([(i, k) for i, ks in wanted.items() for k in ks], "id long, label long"), out, ["id"])
+    got = {r.id: r.loss for r in df.collect()}
+    union = {b: set().union(*(ks for i, ks in wanted.items() if i % 2 == b and i != 8)) for b in (0, 1)}
+    dot = lambda i, k: sum(p * q for p, q in zip(x[i], w[k][0])) + w[k][1]
+    assert got.keys() == set(ids) - {8} and got[7] is None
+    for i in set(ids) - {7, 8}:
+        z = [dot(i, k) for k in union[i % 2]]
+        assert abs(max(z) + log(sum(exp(y - max(z)) for y in z)) - dot(i, sense(i)) - got[i]) < 1e-9
+    rows, of, sizes = kept.tables[:3]
+    near = infer.near_labels(of, sizes).groupBy("batch").agg(F.count("*").alias("k")).collect()
+    assert all(r.k == len(union[r.batch]) if step == 0 else r.k < len(union[r.batch]) / 2 for r in near)
+    assert of.count() == sum(map(len, union.values())) and rows.count() == len(ids) - 1
+
+
+class Kept:
+    def __init__(self):
+        self.tables = []
+
+    def __call__(self, df):
+        from senseloom.operators.keep import keep
+
+        self.tables.append(keep(df))
+        return self.tables[-1]
