@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +35,7 @@ HEAD, HEAD_BYTES = 100_000, 8 << 20
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 _LOW = -1e30
+_BEGUN, _NONE = -1, -2
 
 
 class Lattice:
@@ -44,11 +46,16 @@ class Lattice:
         self.logp = scores
         self.longest = max((len(p) for p in pieces), default=1)
         self.chars = {c for p in pieces if len(p) == 1 for c in p}
-        plain = {k for k in range(len(pieces))} - set(byte_pieces.values())
-        keys = np.array([self._hash(p) for p in pieces], np.uint64)
-        at = np.array(sorted(plain), np.int64)
-        order = np.argsort(keys[at], kind="stable")
-        self.keys, self.ids = keys[at][order], at[order]
+        # every beginning of a piece has a key, as what begins no piece needn't be looked up any further
+        begun = {p[:k]: _BEGUN for p in pieces for k in range(1, len(p))}
+        plain = set(range(len(pieces))) - set(byte_pieces.values())
+        own = {pieces[k]: k for k in sorted(plain)}
+        if len(own) != len(plain):
+            raise ValueError("two pieces are the same")
+        begun |= own
+        keys, at = self._hashes([*begun]), np.array([*begun.values()], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ids = keys[order], at[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a key")
         bits = 20
@@ -63,36 +70,40 @@ class Lattice:
         return h ^ (h >> np.uint64(29))
 
     @classmethod
-    def _hash(cls, s: str) -> np.uint64:
-        h = np.array([len(s)], np.uint64) * np.uint64(0)
+    def _hashes(cls, strings: list[str]) -> np.ndarray:
+        n = np.array([len(x) for x in strings], np.int64)
+        c = np.array(strings, f"<U{max(1, n.max(initial=1))}").view(np.uint32).reshape(len(strings), -1)
+        h = np.zeros(len(strings), np.uint64)
         with np.errstate(over="ignore"):
-            for c in s:
-                h = cls._mix(h, np.array([ord(c)]))
-            return ((h ^ (h >> np.uint64(32))) * cls._M)[0]
+            for j in range(c.shape[1]):
+                h = np.where(n > j, cls._mix(h, c[:, j]), h)
+            return (h ^ (h >> np.uint64(32))) * cls._M
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each key, or -1."""
+        """Piece of each key, _BEGUN if it is only the beginning of one, or _NONE."""
         k = (h ^ (h >> np.uint64(32))) * self._M
         top = (k >> self.shift).astype(np.int64)
         lo, hi = self.slot[top], self.slot[top + 1]
-        out = np.full(len(k), -1, np.int64)
-        for _ in range(8):
-            live = np.flatnonzero((out < 0) & (lo < hi))
+        out = np.full(len(k), _NONE, np.int64)
+        live = np.flatnonzero(lo < hi)
+        for _ in range(16):
             if not len(live):
                 break
-            same = self.keys[lo[live]] == k[live]
-            out[live[same]] = self.ids[lo[live[same]]]
+            at = lo[live]
+            same = self.keys[at] == k[live]
+            out[live[same]] = self.ids[at[same]]
             lo[live] += 1
+            live = live[~same & (at + 1 < hi[live])]
         else:
             raise RuntimeError("crowded keys")
         return out
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
         """For words of at most 64 characters: lengths with the mark, by (start, end) the words and pieces that have an arc, and the weight of spelling out characters without a piece."""
         marked = [MARK + w for w in words]
         n = np.array([len(w) for w in marked], np.int64)
         width = int(n.max())
-        c = np.array(marked, f"<U{width}").view(np.uint32).reshape(len(words), width)
+        c = np.array(marked, f"<U{width}").view(np.uint32).reshape(len(words), width).T.copy()
         found = {}
         with np.errstate(over="ignore"):
             for i in range(width):
@@ -104,16 +115,18 @@ class Lattice:
                         live, h = live[keep], h[keep]
                     if not len(live):
                         break
-                    h = self._mix(h, c[live, j - 1])
+                    h = self._mix(h, c[j - 1][live])
                     piece = self._find(h)
                     hit = piece >= 0
                     if j == i + 1 and not hit.all():  # a character without a piece is spelled in bytes
                         missing = live[~hit]
-                        spelled = np.array([-2 - int(x) for x in c[missing, i]], np.int64)
+                        spelled = np.array([-2 - int(x) for x in c[i][missing]], np.int64)
                         found[i, j] = (np.concatenate([live[hit], missing]), np.concatenate([piece[hit], spelled]))
                     elif hit.any():
                         found[i, j] = (live[hit], piece[hit])
-        return n, found, c
+                    more = piece != _NONE
+                    live, h = live[more], h[more]
+        return n, found
 
     def weight(self, piece: np.ndarray) -> np.ndarray:
         out = self.logp[np.maximum(piece, 0)]
@@ -141,7 +154,7 @@ class Lattice:
         out = np.zeros(len(words))
         short = [k for k, w in enumerate(words) if len(w) < 64]
         for group in self._groups(words, short):
-            n, found, _ = self.arcs([words[k] for k in group])
+            n, found = self.arcs([words[k] for k in group])
             a, _ = self.forward(n, found)
             out[group] = a[n, np.arange(len(group))]
         for k in set(range(len(words))) - set(short):
@@ -150,19 +163,18 @@ class Lattice:
 
     @staticmethod
     def _groups(words: list[str], of: list[int], most: int = 20_000) -> Iterator[list[int]]:
-        of = sorted(of, key=lambda k: len(words[k]))
-        lo = 0
+        sizes = np.array([len(words[k]) for k in of], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        sizes, lo = sizes[order], 0
         while lo < len(of):
-            hi = lo
-            while hi < len(of) and hi - lo < most and len(words[of[hi]]) <= len(words[of[lo]]) + 2:
-                hi += 1
-            yield of[lo:hi]
+            hi = min(lo + most, int(np.searchsorted(sizes, sizes[lo] + 2, "right")))
+            yield [of[k] for k in order[lo:hi].tolist()]
             lo = hi
 
     def _long(self, word: str) -> tuple[float, list]:
         """The same recursion, one place after the other, for a word of any length."""
         if not hasattr(self, "index"):
-            self.index = {self.pieces[k]: k for k in self.ids.tolist()}
+            self.index = {self.pieces[k]: k for k in self.ids.tolist() if k >= 0}
         s = MARK + word
         a = np.full(len(s) + 1, -np.inf)
         a[0] = 0.0
@@ -184,14 +196,14 @@ class Lattice:
 
         def add(pieces: np.ndarray, amount: np.ndarray) -> None:
             real = pieces >= 0
-            np.add.at(use, pieces[real], amount[real])
+            use[:] += np.bincount(pieces[real], amount[real], len(use))
             for k in np.flatnonzero(pieces < -1):
                 for b in chr(-2 - int(pieces[k])).encode("utf-8", "surrogatepass"):
                     use[self.byte_pieces[b]] += amount[k]
 
         short = [k for k, w in enumerate(words) if len(w) < 64]
         for group in self._groups(words, short):
-            n, found, _ = self.arcs([words[k] for k in group])
+            n, found = self.arcs([words[k] for k in group])
             a, weights = self.forward(n, found)
             width, c = int(n.max()), counts[group]
             total = a[n, np.arange(len(group))]
@@ -200,8 +212,8 @@ class Lattice:
             for i, j in sorted(found, key=lambda x: -x[0]):
                 rows = found[i, j][0]
                 b[i][rows] = np.logaddexp(b[i][rows], b[j][rows] + weights[i, j])
-            for (i, j), (rows, pieces) in found.items():
-                add(pieces, c[rows] * np.exp(np.minimum(0.0, a[i][rows] + weights[i, j] + b[j][rows] - total[rows])))
+            amounts = [c[rows] * np.exp(np.minimum(0.0, a[i][rows] + weights[i, j] + b[j][rows] - total[rows])) for (i, j), (rows, _) in found.items()]
+            add(np.concatenate([pieces for _, pieces in found.values()]), np.concatenate(amounts))
         for k in set(range(len(words))) - set(short):
             total, (a, arcs) = self._long(words[k])
             b = np.full(len(a), -np.inf)
@@ -243,8 +255,8 @@ def _lattice(path: str, logp: np.ndarray | None) -> Lattice:
     return lattice
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: str | bytes | None) -> list[bytes]:
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
 
 
 def held_out(doc_id: int | None, folds: int = 10) -> bool:
@@ -262,10 +274,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             c = [*seen[0].values(), *([0] * len(seen[1]))]
             for s in seen:
                 s.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), "c": pa.array(c, pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()).cast(pa.string()), "c": pa.array(c, pa.int64())})
 
         for b in slices(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 seen[held_out(doc_id)].update(tokens(text))
                 if len(seen[0]) + len(seen[1]) > HELD:
                     yield out()
@@ -323,39 +335,43 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float
             })
 
     rated = tables.write(counted.mapInArrow(rate, "word string, c long, base double, lp double"))
-    head, size = {}, 0
+    head, rates, size = {}, [], 0
     for r in rated.where(F.octet_length("word") <= HEAD_BYTES // 128).orderBy(F.desc("c"), "word").limit(HEAD).toLocalIterator():
         word = r.word.encode("utf-8", "surrogatepass")
         size += len(word)
         if size > HEAD_BYTES:
             break
-        head[word] = (int(r.c > 0), r.base, r.lp)
-    sent = spark.sparkContext.broadcast(head)
+        head[word] = len(head)
+        rates.append((float(r.c > 0), r.base, r.lp))
+    sent = spark.sparkContext.broadcast((head, np.array(rates, np.float64).reshape(-1, 3).T.copy()))
     end = (int(ends > 0), float(np.log10((ends + smooth) / (n + smooth * (v + 1)))), float(np.log10(end_share)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for b in slices(batches):
-            rid, ids, texts = (b.column(k).to_pylist() for k in range(3))
-            for lo in range(0, len(rid), 64):
-                rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for r, doc_id, text in zip(rid[lo : lo + 64], ids[lo : lo + 64], texts[lo : lo + 64]):
-                    all_words = tokens(text)
-                    some, base, lp = end
-                    for w, k in Counter(all_words).items():
-                        if x := known.get(w):
-                            some, base, lp = some + k * x[0], base + k * x[1], lp + k * x[2]
-                        else:
-                            for column, y in zip(rows, (r, doc_id, w.decode("utf-8", "surrogatepass"), k, 0, 0, 0.0, 0.0)):
-                                column.append(y)
-                    # a word holds no blank, so this key meets none and spreads the rows
-                    for column, y in zip(rows, (r, doc_id, f" {r}", 0, len(all_words) + 1, some, base, lp)):
-                        column.append(y)
-                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                names = ("rid", "doc_id", "word", "k", "n_tokens", "n_known", "base0", "lp0")
-                yield pa.RecordBatch.from_pydict({name: pa.array(col, t) for name, col, t in zip(names, rows, types)})
-
-    looked = tables.write(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(look, "rid long, doc_id long, word string, k long, n_tokens long, n_known long, base0 double, lp0 double"))  # written, as the numbers of rows must not change
+        known, known_rates = sent.value
+        for b in slices(batches, 64):
+            rid, words, k, sizes, lengths = b.column(0).to_numpy(), [], [], [], []
+            for text in b.column(2).cast(pa.binary()).to_pylist():
+                all_words = tokens(text)
+                seen = Counter(all_words)
+                words += seen
+                k += seen.values()
+                sizes.append(len(seen))
+                lengths.append(len(all_words) + 1)
+            k, row = np.array(k, np.int64), np.repeat(np.arange(len(rid)), sizes)
+            at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+            far = at < 0
+            some, base, lp = (x + np.bincount(row[~far], k[~far] * rate[at[~far]], len(rid)) for x, rate in zip(end, known_rates))
+            row = np.concatenate([row[far], np.arange(len(rid))])
+            none = np.zeros(len(row) - len(rid))
+            # a word holds no blank, so a text's own key meets none and spreads the rows
+            keys = pa.array([*compress(words, far.tolist()), *(b" %d" % r for r in rid.tolist())], pa.binary())
+            yield pa.RecordBatch.from_pydict({
+                "rid": pa.array(rid[row]), "doc_id": b.column(1).take(pa.array(row)), "word": keys.cast(pa.string()),
+                "k": pa.array(np.concatenate([k[far], np.zeros(len(rid), np.int64)])), "n_tokens": pa.array(np.concatenate([none, lengths]).astype(np.int64)),
+                "n_known": pa.array(np.concatenate([none, some]).astype(np.int64)), "base0": pa.array(np.concatenate([none, base])), "lp0": pa.array(np.concatenate([none, lp])),
+            })
+
+    looked = tables.write(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(look, "rid long, doc_id long, word string, k long, n_tokens long, n_known long, base0 double, lp0 double"))  # written, as the numbers of rows must not change
     part = looked.join(rated, "word", "left").select(
         "rid", "doc_id", "n_tokens",
         (F.col("n_known") + F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"),

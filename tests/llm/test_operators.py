@@ -427,6 +427,17 @@ def test_lattice_sums_all_segmentations():
         assert abs(((other.words(words) - lattice.words(words)) * counts).sum() / d - use[k]) < 1e-3
 
 
+def test_lattice_looks_up_beginnings_of_pieces_alone(monkeypatch):
+    pieces = ["▁", "▁ab", "a", "b", "abcabcab", "c", "z", "<b>"]
+    lattice = lm_score.Lattice(pieces, np.log(np.full(8, 1 / 8)), {b: 7 for b in range(256)})
+    asked, find = [], lattice._find
+    monkeypatch.setattr(lattice, "_find", lambda h: asked.append(len(h)) or find(h))
+    words = ["z" * 40, "abcabcab", "abcabcaé"]
+    got = np.exp(lattice.words(words))
+    assert np.allclose(got, [8.0**-41, 8.0**-9 + 8.0**-7 + 8.0**-2, 8.0**-10 + 8.0**-8])
+    assert sum(asked) < 3 * sum(len(w) + 1 for w in words)  # 8 to 41 substrings begin at a place, and few begin a piece
+
+
 def test_scores_are_marginals(spark, odd):
     """The score of a text is the sum over all segmentations of its words, and its end, by plain recursion."""
     rows = [(1, "Ab ab abc  déjà\tvu"), (2, ""), (3, None), (10, "Ab " * 3 + "x" * 70), (4, "ab")]
